@@ -246,7 +246,7 @@ def expanded(members: DataFrame, links: DataFrame, textual: DataFrame) -> DataFr
     """
     m = members.select("id", "rep")
     across = links.join(m.toDF("x", "a"), "a").join(m.toDF("y", "b"), "b").select("x", "y")
-    some = m.join(textual.select(F.col("id").alias("rep")), "rep", "left_semi")
+    some = m.join(textual.select(F.col("id").alias("rep")), "rep", "left_semi").select("id", "rep")
     copies = some.where(F.col("id") != F.col("rep"))
     within = copies.toDF("x", "rep").join(some.toDF("y", "rep"), "rep").where("x <> y").select("x", "y")
     both = across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

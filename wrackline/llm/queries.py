@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrackline.llm import neardup
+from wrackline.llm import boilerplate, crosssplit, cutting, leakage, neardup
 from wrackline.sources.tables import table
 
 
@@ -21,5 +21,61 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_groups(records, "record_id", "content", "extracted_at", words=5, likeness=0.8).withColumnRenamed("id", "record_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
+def _cross(spark: SparkSession, folder: str):
+    records = table(spark, folder, "validated_records")
+    return crosssplit.overlaps(records, "rec_id", "content", "split", "packed_at", keep=("source",), words=3, likeness=0.5)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = crosssplit.expanded(*_cross(spark, folder))
+    return rows.select(F.least("x", "y").alias("rec_id_a"), F.greatest("x", "y").alias("rec_id_b"))
+
+
+def p2_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return crosssplit.reported(*_cross(spark, folder), "source")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "corpus_records")
+    return boilerplate.repeated_lines(records, "record_id", "source", "content", "extracted_at").select(F.col("id").alias("record_id"), "line_no")
+
+
+def p4_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.blocks(table(spark, folder, "corpus_records"), "record_id", "source", "content", "extracted_at")
+
+
+def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
+    rows = boilerplate.without_lines(table(spark, folder, "corpus_records"), "record_id", "source", "content", "extracted_at")
+    return rows.toDF("record_id", "source", "content", "removed")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return cutting.overlong(table(spark, folder, "audio_windows"))
+
+
+def p5_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return cutting.cut_windows(table(spark, folder, "audio_windows"))
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "validated_records").where("split = 'train'")
+    return leakage.leaks(records, "rec_id", "content", table(spark, folder, "probes"), "id", "prompt")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).where("longest >= 8").select(F.col("id").alias("rec_id"), F.col("item").alias("probe_id"))
+
+
+def p6_probes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each probe with its leaks, beside what it says of itself."""
+    hits = _leaks(spark, folder)
+    about = hits.groupBy("item").agg(F.count(F.lit(1)).alias("near_records"), F.count(F.when(F.col("longest") >= 8, 1)).alias("records"), F.max("longest").alias("longest"))
+    probes = table(spark, folder, "probes").dropDuplicates(["id"])
+    zero = F.lit(0)
+    return probes.join(about, probes["id"] == about["item"], "left").select(
+        F.col("id").alias("probe_id"), "membership", F.size(F.coalesce("source_digests", F.array().cast("array<string>"))).alias("named_sources"), F.coalesce("records", zero).alias("records"), F.coalesce("near_records", zero).alias("near_records"), F.coalesce("longest", zero).alias("longest")
+    )
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_coverage, p4_found, p4_blocks, p4_clean, p5_found, p5_windows, p6_found, p6_probes)}
 ORACLES: dict[str, str] = {}

@@ -9,21 +9,26 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import xxhash
 
 _WORD = re.compile(r"[^\W_]+")
+_OTHER = re.compile(r"[^\x00-\x7f]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(31)
 
 
+@lru_cache(100_000)
+def _unaccented(run: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", run) if not unicodedata.combining(c)).lower()
+
+
 def plain(text: str) -> str:
     """Lower case without accents."""
     text = text.lower()
-    if text.isascii():
-        return text
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
+    return text if text.isascii() else _OTHER.sub(lambda m: _unaccented(m[0]), text)
 
 
 def words(text: str | None) -> list[str]:
