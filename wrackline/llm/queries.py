@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrackline.llm import boilerplate, crosssplit, cutting, leakage, neardup
+from wrackline.llm import boilerplate, crosssplit, cutting, encoding, leakage, mixing, neardup, packing
 from wrackline.sources.tables import table
 
 
@@ -77,5 +77,40 @@ def p6_probes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_coverage, p4_found, p4_blocks, p4_clean, p5_found, p5_windows, p6_found, p6_probes)}
+def _manifest_length(spark: SparkSession, folder: str) -> int:
+    """max_length of the first manifest by run_id; a table of a few rows."""
+    return table(spark, folder, "recipe_manifests").agg(F.min_by("max_length", "run_id")).first()[0]
+
+
+def p3_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.sequences(table(spark, folder, "validated_records"), _manifest_length(spark, folder))
+
+
+def p3_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.filled(p3_sequences(spark, folder), _manifest_length(spark, folder))
+
+
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.encoded(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.decoded(p8_ids(spark, folder), "doc_id")
+
+
+def _mix(spark: SparkSession, folder: str):
+    sized = encoding.token_counts(table(spark, folder, "documents"), "doc_id", "text", ("source",))
+    return mixing.mixed(sized.withColumnRenamed("doc_id", "id"), table(spark, folder, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[0].withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[1]
+
+
+_ALL = (p1_found, p1_groups, p2_found, p2_coverage, p3_sequences, p3_fill, p4_found, p4_blocks, p4_clean, p5_found, p5_windows, p6_found, p6_probes, p8_ids, p8_decoded, p9_mix, p9_shares)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
