@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wrackline.llm.arrow import signed
-from wrackline.llm.copies import classes, newest
+from wrackline.llm.copies import classes, newest, only, texts_of
 from wrackline.llm.words import WordHashes, distinct, grams, hashed
 from wrackline.session import cut
 
@@ -32,12 +32,6 @@ SHORT = 16
 COMMON_SHARE = 0.2
 
 
-def _texts(df: DataFrame, key: str, text: str, reps: DataFrame) -> DataFrame:
-    """`id, split, text` of the representatives, by their unique ids."""
-    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    return rows.join(reps.select("id", "split", "h"), ["id", "h"]).dropDuplicates(["id"]).select("id", "split", "text")
-
-
 def winnow(value: np.ndarray, text: np.ndarray, rank: np.ndarray, window: int) -> np.ndarray:
     """Marks the k-grams kept: in each window within a text the least by `rank` (a text shorter than a window is one)."""
     kept = np.zeros(len(value), np.bool_)
@@ -187,16 +181,12 @@ def overlaps(df: DataFrame, key: str, text: str, split: str, at: str | None = No
     """
     rows = newest(df, key, text, at, (split, *keep)).withColumnRenamed(split, "split").where(F.col("split").isin(*sides))
     members = cut(classes(rows, "split").select("id", "rep", "split", "text_id", *keep))
-    reps = members.where("id = rep").select("id", "split", "text_id")
-    hashes = df.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.concat(F.hex(F.xxhash64(text)), F.lit("-"), F.hex(F.xxhash64(F.lit("b"), F.col(text)))).alias("text_id")).distinct()
-    asked = cut(reps.join(hashes, ["id", "text_id"]).select("id", "split", "h"))
-    few = _texts(df.where(F.col(split) == sides[0]), key, text, asked.where(F.col("split") == sides[0]))
-    few = cut(few)
-    records = few.count()
-    common = common_grams(few, k, records, part)
+    reps, others = members.where("id = rep"), members.where("id <> rep")
+    # a delivery that no longer holds may add a candidate; texts that hold are measured below
+    few, many = (only(df.where(F.col(split) == side).select(F.col(key).alias("id"), F.col(text).alias("text")), others, "left_anti") for side in sides)
+    common = common_grams(few, k, reps.where(F.col("split") == sides[0]).count(), part)
     probing = cut(fingerprints(few, common, k, window, COMMON_SHARE))
     wanted = bitset(probing, probing.count())
-    many = _texts(df.where(F.col(split) == sides[1]), key, text, asked.where(F.col("split") == sides[1]))
     found = fingerprints(many, common, k, window, COMMON_SHARE / 2, wanted)
     met = probing.toDF("seed", "a", "na").join(found.toDF("seed", "b", "nb"), "seed")
     pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first(F.least("na", "nb")).alias("of")).where(F.col("n") >= shared * F.col("of"))
@@ -217,9 +207,10 @@ def overlaps(df: DataFrame, key: str, text: str, split: str, at: str | None = No
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)], names=["a", "b", "likeness", "coverage_a", "coverage_b", "passages", "longest"])
 
-    side_a = few.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    need_b = asked.where(F.col("split") == sides[1]).join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi")
-    side_b = _texts(df.where(F.col(split) == sides[1]), key, text, need_b).select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    side_a, side_b = (
+        texts_of(df.where(F.col(split) == side), key, text, reps.where(F.col("split") == side).join(pairs.select(F.col(c).alias("id")).distinct(), "id", "left_semi")).toDF(c, "t" + c)
+        for c, side in zip("ab", sides)
+    )
     joined = pairs.join(side_a, "a").join(side_b, "b").select("a", "b", "ta", "tb")
     schema = "a bigint, b bigint, likeness double, coverage_a double, coverage_b double, passages int, longest int"
     return members, joined.mapInArrow(measure, schema)
