@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrackline.llm import boilerplate, crosssplit, cutting, encoding, leakage, mixing, neardup, packing
+from wrackline.llm import boilerplate, crosssplit, cutting, encoding, leakage, mixing, neardup, packing, scans, toxicity
 from wrackline.sources.tables import table
 
 
@@ -77,6 +77,16 @@ def p6_probes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    blocks = table(spark, folder, "text_blocks")
+    return scans.damage(blocks, scans.lexicon(blocks))
+
+
+def p7_text(spark: SparkSession, folder: str) -> DataFrame:
+    blocks = table(spark, folder, "text_blocks")
+    return scans.repaired(blocks, scans.lexicon(blocks))
+
+
 def _manifest_length(spark: SparkSession, folder: str) -> int:
     """max_length of the first manifest by run_id; a table of a few rows."""
     return table(spark, folder, "recipe_manifests").agg(F.min_by("max_length", "run_id")).first()[0]
@@ -111,6 +121,24 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[1]
 
 
-_ALL = (p1_found, p1_groups, p2_found, p2_coverage, p3_sequences, p3_fill, p4_found, p4_blocks, p4_clean, p5_found, p5_windows, p6_found, p6_probes, p8_ids, p8_decoded, p9_mix, p9_shares)
+def _toxic(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    judge = toxicity.trained(documents, "doc_id", "text", table(spark, folder, "labels"))
+    return toxicity.scored(documents, "doc_id", "text", judge, ("source",)).withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _toxic(spark, folder).where(F.col("vote") >= toxicity.CUT).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _toxic(spark, folder)
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.rates(_toxic(spark, folder), "source")
+
+
+_ALL = (p1_found, p1_groups, p2_found, p2_coverage, p3_sequences, p3_fill, p4_found, p4_blocks, p4_clean, p5_found, p5_windows, p6_found, p6_probes, p7_found, p7_text, p8_ids, p8_decoded, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
