@@ -2,5 +2,360 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from wrackline.functions import patterns as P
+from wrackline.functions import predicates as K
+from wrackline.functions import text as T
+from wrackline.operators import blocks as B
+from wrackline.operators import compare as C
+from wrackline.operators import dedup as D
+from wrackline.operators import prepare as R
+from wrackline.operators import sequences as S
+from wrackline.sources.tables import table
+from wrackline.streaming.metering import metering
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def q(pattern: str) -> str:
+    """A pattern as an SQL string."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def any_sql(column: str, patterns: tuple[str, ...]) -> str:
+    return "(" + " or ".join(f"regexp_matches({column}, {q(p)})" for p in patterns) + ")"
+
+
+COUNT = "len(regexp_extract_all({0}, " + q(P.WORD) + "))"
+def canon(column: str) -> str:
+    return f"lower(trim(regexp_replace({column}, {q(P.SPACE)}, ' ', 'g')))"
+
+
+NOISE, CAPTION = any_sql("text", P.NOISE), "(" + any_sql("text", P.CAPTION) + f" or (words <= 45 and regexp_matches(text, {q(P.CAPTION_VERB)}) and not contains(text, '\"')))"
+CORRUPT = f"(words >= 12 and len(list_filter(regexp_extract_all(text, {q(P.WORD)}), lambda w: length(w) = 1)) * 100 > words * 15)"
+PROSE = f"(words >= {{0}} and regexp_matches(text, '[a-z]{{{{3}}}}') and not {CORRUPT})"
+USEFUL = f"(not regexp_matches(text, {q(P.BYLINE)}) and not regexp_matches(text, {q(P.FIXTURE)}) and words between 1 and 24)"
+LINES = f"""raw as (select doc_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) as text, generate_subscripts(string_split(replace(text, chr(13), ''), chr(10)), 1) - 1 as idx from documents),
+lines as (select doc_id, idx, text, {COUNT.format('text')} as words from raw where text <> '')"""
+
+
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n", -1)).alias("idx", "text"))
+    return rows.where("text <> ''")
+
+
+@query(f"select doc_id, {COUNT.format('text')}::bigint as words from documents")
+def word_counts(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", T.word_count(F.col("text")).cast("bigint").alias("words"))
+
+
+@query(f"select doc_id, sha256({canon('text')}) as key from documents")
+def canonical_keys(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", T.sha256(T.canonical(F.col("text"))).alias("key"))
+
+
+@query("select rec_id, lower(digest) = sha256(trim(content, ' ' || chr(9) || chr(10) || chr(13))) as agrees from (select distinct rec_id, digest, content from validated_records)")
+def digest_check(spark, folder):
+    rows = table(spark, folder, "validated_records").select("rec_id", "digest", "content").distinct()
+    return rows.select("rec_id", (F.lower("digest") == T.sha256(F.trim(F.col("content"), F.lit(" \t\n\r")))).alias("agrees"))
+
+
+@query(f"""with {LINES} select doc_id, count(*) as lines, count(*) filter ({NOISE}) as noise, count(*) filter ({CAPTION}) as captions, count(*) filter ({CORRUPT}) as corrupt,
+count(*) filter ({PROSE.format(8)}) as prose, count(*) filter ({USEFUL}) as headings from lines group by doc_id""")
+def line_kinds(spark, folder):
+    text = F.col("text")
+    tests = {"noise": K.is_noise(text), "captions": K.is_caption(text), "corrupt": K.is_corrupt(text), "prose": K.is_prose(text), "headings": K.is_useful_heading(text)}
+    return _lines(spark, folder).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), *[F.count_if(t).alias(n) for n, t in tests.items()])
+
+
+CAPITAL = f"len(list_filter(regexp_extract_all(text, {q(P.WORD)}), lambda w: regexp_matches(w[1:1], '[A-Z]')))"
+SHOUTED = f"len(list_filter(regexp_extract_all(text, {q(P.WORD)}), lambda w: length(w) > 1 and regexp_matches(w, '[A-Z]') and not regexp_matches(w, '[a-z]'))) > 0"
+BLOCKS = f"""{LINES},
+marked as (select *, {NOISE} or {CAPTION} as gone from lines),
+ahead as (select *, first_value(case when not gone then text end ignore nulls) over (partition by doc_id order by idx rows between 1 following and unbounded following) as following from marked),
+looks as (select *, words between 1 and 14 and length(text) <= 160 and not regexp_matches(text, '[.?!;:]\\z') and not regexp_matches(text, '^["''(]') and not gone and {USEFUL}
+  and ((regexp_matches(text, '[A-Z]') and not regexp_matches(text, '[a-z]')) or {SHOUTED} or {CAPITAL} * 4 >= words) as fits from ahead),
+nexts as (select a.* exclude (text, words), a.text as own, a.words as own_words, a.following as text, {COUNT.format('a.following')} as words from looks a),
+kinds as (select doc_id, idx, case when gone then null when fits and coalesce({PROSE.format(12)}, false) then 'heading' else 'other' end as kind, own as text, own_words as words from nexts),
+blocks as (select doc_id, idx, text, kind = 'heading' as is_heading from kinds where kind = 'heading' or (kind = 'other' and not regexp_matches(text, {q(P.BYLINE)}) and {PROSE.format(8)}))"""
+
+
+def _blocks(spark, folder):
+    rows = _lines(spark, folder).select(F.col("doc_id").alias("source"), "idx", "text", F.lit(False).alias("explicit"))
+    return B.blocks(rows)
+
+
+@query(f"with {BLOCKS} select doc_id, idx, is_heading from blocks")
+def block_kinds(spark, folder):
+    return _blocks(spark, folder).select(F.col("source").alias("doc_id"), "idx", "is_heading")
+
+
+@query(f"""with {BLOCKS}, runs as (select *, case when is_heading and not coalesce(lag(is_heading) over (partition by doc_id order by idx), true) then 1 else 0 end as begins from blocks),
+numbered as (select *, sum(begins) over (partition by doc_id order by idx) as article from runs)
+select doc_id, article::int as article, count(*) as blocks from numbered group by all having bool_or(not is_heading)""")
+def article_segments(spark, folder):
+    return B.articles(_blocks(spark, folder)).groupBy(F.col("source").alias("doc_id"), "article").agg(F.count(F.lit(1)).alias("blocks"))
+
+
+@query()
+def article_chunks(spark, folder):
+    return B.chunks(_blocks(spark, folder).withColumn("source", F.col("source").cast("string")), 20, 80)
+
+
+@query("select doc_id, len(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)))::bigint as sentences from documents where text is not null and not contains(text, chr(11))")
+def sentence_counts(spark, folder):
+    return table(spark, folder, "documents").where("text is not null and not contains(text, chr(11))").select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("sentences"))
+
+
+@query(f"select distinct record_id, not regexp_matches(content, {q(P.LOCAL_TERMS)}) and regexp_matches(content, {q(P.FOREIGN_TERMS)}) as off_domain, {COUNT.format('content')} < 80 as short from corpus_records where content is not null")
+def record_filters(spark, folder):
+    rows = table(spark, folder, "corpus_records").where("content is not null")
+    return rows.select("record_id", K.is_off_domain(F.col("content")).alias("off_domain"), (T.word_count(F.col("content")) < 80).alias("short")).distinct()
+
+
+def _records(spark, folder):
+    return table(spark, folder, "corpus_records").where("content is not null").select("source", "ordinal", "content").distinct()
+
+
+@query(f"""select source, ordinal from (select source, ordinal, row_number() over (partition by {canon('content')} order by length(content) desc, source, ordinal) as n
+from (select distinct source, ordinal, content from corpus_records where content is not null)) where n = 1""")
+def exact_dedup(spark, folder):
+    return D.longest_of_copies(_records(spark, folder)).select("source", "ordinal")
+
+
+@query()
+def near_dedup(spark, folder):
+    return D.deduplicated(_records(spark, folder))
+
+
+@query()
+def simhashes(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", T.simhash(F.col("text")).alias("hash"))
+
+
+@query()
+def build_summary_now(spark, folder):
+    """The counters that a build reports, on the corpus records."""
+    rows = _records(spark, folder)
+    short, off = T.word_count(F.col("content")) < 80, K.is_off_domain(F.col("content"))
+    kept = rows.where(~short & ~off)
+    one = rows.agg(F.count(F.lit(1)).alias("extracted_records"), F.count_if(short).alias("below_minimum_records"), F.count_if(~short & off).alias("off_domain_records"), F.count_if(~short & ~off).alias("_kept"))
+    exact = D.longest_of_copies(kept).agg(F.count(F.lit(1)).alias("_exact"))
+    near = D.deduplicated(kept).agg(F.count(F.lit(1)).alias("output_records"))
+    both = one.crossJoin(F.broadcast(exact)).crossJoin(F.broadcast(near))  # one row each
+    return both.select("extracted_records", "below_minimum_records", "off_domain_records", (F.col("_kept") - F.col("_exact")).alias("exact_duplicates"), (F.col("_exact") - F.col("output_records")).alias("near_duplicates"), "output_records")
+
+
+VALID = "records as (select distinct shard, line_no, content, sha256(trim(content)) as digest, length(content) as tokens from validated_records where trim(content) <> '')"
+FIRST = f"with {VALID}, firsts as (select * from (select *, row_number() over (partition by digest order by shard, line_no) as n from records) where n = 1)"
+KEPT = FIRST + ", kept as (select * from firsts where tokens between 128 and 4096), k as (select round_even(count(*) * 0.01, 0)::int as k from kept)"
+SPLIT = KEPT + ", ranked as (select *, row_number() over (order by substr(digest, 1, 8), tokens, shard, line_no) as r from kept), split as (select digest, shard, line_no, tokens, case when r <= k then 'eval' else 'train' end as split from ranked, k)"
+
+
+def _valid(spark, folder):
+    rows = table(spark, folder, "validated_records").where("trim(content) <> ''").select("shard", "line_no", "content").distinct()
+    return rows.select("shard", "line_no", "content", T.sha256(F.trim("content")).alias("digest"), F.length("content").alias("tokens"))
+
+
+@query(FIRST + " select digest, shard, line_no, case when tokens < 128 then 'below' when tokens > 4096 then 'above' else 'kept' end as status from firsts")
+def sha_dedup_window(spark, folder):
+    return R.windowed(_valid(spark, folder)).select("digest", "shard", "line_no", "status")
+
+
+@query(SPLIT + " select digest, shard, line_no, split from split")
+def train_eval_split(spark, folder):
+    kept = R.windowed(_valid(spark, folder)).where("status = 'kept'")
+    return R.with_split(kept).select("digest", "shard", "line_no", "split")
+
+
+@query(SPLIT + """ select (select count(*) from records) as total_records, (select count(*) from records) - (select count(*) from firsts) as deduplicated,
+(select count(*) from firsts where tokens < 128) as below_min_tokens, (select count(*) from firsts where tokens > 4096) as above_max_tokens,
+count(*) filter (split = 'train') as train_records, count(*) filter (split = 'eval') as eval_records, coalesce(sum(tokens) filter (split = 'train'), 0)::bigint as train_tokens, coalesce(sum(tokens) filter (split = 'eval'), 0)::bigint as eval_tokens from split""")
+def prepare_summary_now(spark, folder):
+    rows = _valid(spark, folder)
+    seen = R.windowed(rows)
+    return R.summary(rows, seen, R.with_split(seen.where("status = 'kept'")))
+
+
+@query("select id, case when track = 'control' then 'control' when count(distinct w) = 1 then any_value(w) else 'mixed' end as membership from (select p.id, p.track, case when d is null then null when d in (select digest from validated_records where split = 'train' and digest is not null) then 'train' when d in (select digest from validated_records where split = 'eval' and digest is not null) then 'eval' else 'absent' end as w from (select id, track, unnest(case when len(source_digests) = 0 or source_digests is null then [null] else source_digests end) as d from probes) p) group by id, track")
+def digest_membership(spark, folder):
+    records = table(spark, folder, "validated_records").where("digest is not null")
+    return C.membership(table(spark, folder, "probes"), records.where("split = 'train'"), records.where("split = 'eval'"))
+
+
+@query("select id, case when len(choices) <> 4 then 'choices' when answer_index not between 0 and 3 then 'answer' when track not in ('local', 'rare_local', 'control') then 'track' when variant not in ('canonical', 'paraphrase') then 'variant' when track <> 'control' and len(source_digests) = 0 then 'digests' when n <> 2 or v <> 2 then 'family' end as problem from (select *, count(*) over (partition by fact_id) as n, len(list(variant) over (partition by fact_id)) - case when min(variant) over (partition by fact_id) = max(variant) over (partition by fact_id) then 1 else 0 end as v from probes)")
+def probe_checks(spark, folder):
+    fact = Window.partitionBy("fact_id")
+    n, v = F.count(F.lit(1)).over(fact), F.size(F.collect_set("variant").over(fact))
+    why = F.when(F.size("choices") != 4, "choices").when(~F.col("answer_index").between(0, 3), "answer").when(~F.col("track").isin("local", "rare_local", "control"), "track").when(~F.col("variant").isin("canonical", "paraphrase"), "variant")
+    return table(spark, folder, "probes").select("id", why.when((F.col("track") != "control") & (F.size("source_digests") == 0), "digests").when((n != 2) | (v != 2), "family").alias("problem"))
+
+
+TRACKS = "['local', 'rare_local', 'control']"
+SCORED = f"""scored as (select vec_id as probe_id, {TRACKS}[vec_id % 3 + 1] as track, 'c' || label as category, 'g' || (vec_id % 7) as source_group, 'f' || (vec_id // 6 * 3 + vec_id % 3) as fact_id, (label % 4)::int as a,
+list_transform(embedding[1:4], lambda x: x::double) as b, list_transform(embedding[5:8], lambda x: x::double) as d from embeddings),
+pairs as (select probe_id, track, category, source_group, fact_id, list_position(b, list_max(b)) - 1 = a as base_correct, list_position(d, list_max(d)) - 1 = a as adapter_correct,
+b[a + 1] - list_max(list_filter(b, lambda x, i: i <> a + 1)) as base_margin, d[a + 1] - list_max(list_filter(d, lambda x, i: i <> a + 1)) as adapter_margin from scored), deltas as (select *, adapter_margin - base_margin as delta from pairs)"""
+
+
+def _runs(spark, folder):
+    v = table(spark, folder, "embeddings")
+    track = F.get(F.array(*[F.lit(t) for t in ("local", "rare_local", "control")]), F.col("vec_id") % 3)
+    fact = F.concat(F.lit("f"), (F.floor(F.col("vec_id") / 6) * 3 + F.col("vec_id") % 3).cast("string"))
+    dims = v.select(F.col("vec_id").alias("probe_id"), track.alias("track"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"), F.concat(F.lit("g"), (F.col("vec_id") % 7).cast("string")).alias("source_group"), fact.alias("fact_id"), (F.col("label") % 4).cast("int").alias("answer_index"), "embedding")
+    run = lambda at: C.outcomes(dims.withColumn("scores", F.slice("embedding", at, 4).cast("array<double>")))
+    return C.paired(run(1), run(5), ("track", "category", "source_group", "fact_id"))
+
+
+@query(f"with {SCORED} select probe_id, base_correct, adapter_correct, round(delta, 9) as delta from deltas")
+def choice_outcomes(spark, folder):
+    return _runs(spark, folder).select("probe_id", "base_correct", "adapter_correct", F.round("delta", 9).alias("delta"))
+
+
+@query(f"""with {SCORED} select case when grouping(track) = 0 then 'track' when grouping(category) = 0 then 'category' else 'overall' end as dimension, coalesce(track, category) as value, count(*) as n, round(avg(base_correct::int), 9) as base_accuracy,
+round(avg(adapter_correct::int), 9) as adapter_accuracy, round(avg(delta), 9) as margin_delta, count(*) filter (delta > 1e-9) as wins, count(*) filter (abs(delta) <= 1e-9) as ties, count(*) filter (delta < -1e-9) as losses from deltas group by grouping sets ((), (track), (category))""")
+def grouped_comparison(spark, folder):
+    rows = C.grouped(_runs(spark, folder), ("track", "category"))
+    return rows.select("dimension", "value", "n", *[F.round(c, 9).alias(c) for c in ("base_accuracy", "adapter_accuracy", "margin_delta")], "wins", "ties", "losses")
+
+
+@query(f"""with {SCORED} select fact_id as family, min(track) as track, bool_and(base_correct) as base_all, bool_and(adapter_correct) as adapter_all, round(min(base_margin), 9) as base_least, round(min(adapter_margin), 9) as adapter_least,
+case when not bool_and(base_correct) and bool_and(adapter_correct) then 'acquired' when bool_and(base_correct) and not bool_and(adapter_correct) then 'regressed' else 'same' end as change from deltas group by fact_id""")
+def family_comparison(spark, folder):
+    return C.families(_runs(spark, folder)).withColumn("base_least", F.round("base_least", 9)).withColumn("adapter_least", F.round("adapter_least", 9))
+
+
+@query(f"""with {SCORED}, one as (select coalesce(avg(delta) filter (track in ('local', 'rare_local')), 0) as l, coalesce(avg(delta) filter (track = 'control'), 0) as c from deltas), m as (select avg(m) as m from (select avg(delta) as m from deltas where track <> 'control' group by source_group))
+select round(l, 9) as local_delta, round(c, 9) as control_delta, round(l - c, 9) as adjusted_delta, round(coalesce(m, 0), 9) as source_macro_delta from one, m""")
+def contrast_deltas(spark, folder):
+    rows = C.contrasts(_runs(spark, folder))
+    return rows.select(*[F.round(c, 9).alias(c) for c in rows.columns])
+
+
+@query(f"with {SCORED} select probe_id, track, round(delta, 9) as delta from deltas where delta < 0")
+def regressed_probes(spark, folder):
+    return _runs(spark, folder).where("delta < 0").select("probe_id", "track", F.round("delta", 9).alias("delta"))
+
+
+@query()
+def bootstrap_intervals(spark, folder):
+    rows = _runs(spark, folder).groupBy("track").agg(C.bootstrap(F.col("delta"), F.col("probe_id")).alias("i"))
+    return rows.select("track", "i.low", "i.high")
+
+
+RECORDINGS = "recordings as (select recording_id, max(recording_s) as d from audio_windows group by recording_id having max(recording_s) > 0)"
+
+
+def _recordings(spark, folder):
+    return table(spark, folder, "audio_windows").groupBy("recording_id").agg(F.max("recording_s").alias("duration_s"))
+
+
+@query(f"with {RECORDINGS}, w as (select recording_id, d, unnest(generate_series(0, case when d <= 30 then 0 else ceil((d - 30) / 25)::int end)) as i from recordings) select recording_id, i::int as index, i * 25.0::double as start_s, least(i * 25.0 + 30.0, d) as end_s from w")
+def sliding_windows(spark, folder):
+    return S.sliding(_recordings(spark, folder))
+
+
+@query(f"with {RECORDINGS} select recording_id, k::int as k, round(d * k / 6, 6) as at_s from recordings, generate_series(1, 5) g(k)")
+def frame_timestamps(spark, folder):
+    rows = _recordings(spark, folder).where("duration_s > 0")
+    return rows.select("recording_id", F.posexplode(S.frame_times(F.lit(0.0), F.col("duration_s"), 5)).alias("at", "t")).select("recording_id", (F.col("at") + 1).cast("int").alias("k"), F.round("t", 6).alias("at_s"))
+
+
+@query("select distinct recording_id, index, case when starts_with(upper(t), 'MUSIC') then '' else t end as text from (select recording_id, index, trim(regexp_replace(transcript, '<\\|[^|]+\\|>', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) as t from audio_windows)")
+def clean_transcripts(spark, folder):
+    return table(spark, folder, "audio_windows").select("recording_id", "index", T.clean_audio(F.col("transcript")).alias("text")).distinct()
+
+
+def _transcripts(spark, folder):
+    rows = table(spark, folder, "audio_windows").where("recording_id is not null and index is not null")
+    return rows.groupBy("recording_id", "index").agg(F.max("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.max("transcript").alias("transcript"), F.max("generation_tokens").alias("generation_tokens"), F.max("latency_ms").alias("latency_ms"))
+
+
+@query("with t as (select recording_id, index, max(start_s) as s, max(end_s) as e, max(transcript) as x from audio_windows group by all) select recording_id, string_agg(printf('[%.1fs-%.1fs] %s', s, e, x), chr(10) || chr(10) order by index) as text from t where s is not null and e is not null and x is not null and s * 10 = round(s * 10) and abs(e * 20 - round(e * 20)) > 1e-6 group by recording_id")
+def literal_transcripts(spark, folder):
+    rows = _transcripts(spark, folder).where("start_s is not null and end_s is not null and transcript is not null and start_s * 10 = round(start_s * 10) and abs(end_s * 20 - round(end_s * 20)) > 1e-6")
+    return S.literal(rows)
+
+
+@query()
+def stitched_transcripts(spark, folder):
+    return S.stitched(_transcripts(spark, folder))
+
+
+@query("""with l as (select user_id, ts, lag(ts) over w as p, lag(value) over w as v from events window w as (partition by user_id order by ts))
+select user_id, round(sum(case when v >= 25 then epoch_us(ts) - epoch_us(p) else 0 end) / 1e6, 3) as consumed_s from l group by user_id""")
+def active_metering(spark, folder):
+    rows = S.metered(table(spark, folder, "events"), "user_id", "ts", "value")
+    return rows.groupBy("user_id").agg(F.round(F.max("consumed_s"), 3).alias("consumed_s"))
+
+
+@query("select user_id, arg_min(event_id, (value, event_id)) as best_event, min(value) as best, arg_max(value, event_id) as last from events where value is not null group by user_id")
+def loss_argmin(spark, folder):
+    rows = table(spark, folder, "events").where("value is not null")
+    return rows.groupBy("user_id").agg(F.min_by("event_id", F.struct("value", "event_id")).alias("best_event"), F.min("value").alias("best"), F.max_by("value", "event_id").alias("last"))
+
+
+@query()
+def bin_packing(spark, folder):
+    return S.packed(table(spark, folder, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity", 60.0)
+
+
+@query("select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_orderkey desc) as n from orders) where n > 2")
+def retention(spark, folder):
+    return S.beyond_newest(table(spark, folder, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+
+
+@query("select name, first, least(first + 999, total - 1) as last from (select p_name || p_partkey as name, total, unnest(generate_series(0, total - 1, 1000)) as first from (select *, (p_retailprice * 3)::bigint as total from part where p_retailprice * 3 >= 1))")
+def range_plan(spark, folder):
+    files = table(spark, folder, "part").where("p_retailprice * 3 >= 1").select(F.concat("p_name", F.col("p_partkey").cast("string")).alias("name"), F.bround(F.col("p_retailprice") * 3).cast("bigint").alias("total"))
+    return S.ranges(files, 1000)
+
+
+FIELDS = ("base_model_revision", "dataset_revision", "lora_rank", "lora_alpha", "lora_dropout", "target_modules", "max_length", "batch_size", "save_steps")
+
+
+@query("with p as (select a.run_id, f.* from recipe_manifests a join recipe_manifests b on b.run_id = 'run-01', lateral (values " + ", ".join(f"('{f}', a.{f}::varchar is distinct from b.{f}::varchar)" for f in FIELDS) + ") f(field, differs)) select run_id, field from p where differs")
+def manifest_diff(spark, folder):
+    rows = table(spark, folder, "recipe_manifests").select("run_id", *FIELDS).dropDuplicates(["run_id"])
+    first = rows.where("run_id = 'run-01'").drop("run_id").crossJoin(F.broadcast(rows.select("run_id")))  # one row by the manifests
+    return S.differing(rows, first.select("run_id", *FIELDS), "run_id").select("run_id", "field")
+
+
+@query()
+def manifest_hashes(spark, folder):
+    rows = table(spark, folder, "recipe_manifests")
+    return rows.select("run_id", S.manifest_hash([c for c in rows.columns if c != "run_id"]).alias("hash"))
+
+
+@query("select kind, count(*) as n from (select case when starts_with(p_type, 'S') then 'kept' when starts_with(p_type, 'P') then 'dropped' when starts_with(p_type, 'M') then 'dropped' else 'kept' end as kind from part) group by kind")
+def weight_filter(spark, folder):
+    kind = S.weight_kind(F.col("p_type"), ("S",), ("P",), ("M",), False)
+    return table(spark, folder, "part").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def stream_metering(spark, folder):
+    """The metering stream, run to the end of what is there; equals the batch query."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    at = f"{named}/metering-{uuid.uuid4().hex}"
+    shape = table(spark, folder, "events").schema
+    stream = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(folder)
+    rows = metering(stream.select(F.col("user_id").cast("string").alias("run_id"), F.col("ts"), F.col("value").alias("watts")))
+    run = rows.writeStream.foreachBatch(lambda part, n: part.write.mode("append").parquet(f"{at}/out")).outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{at}/out").groupBy("run_id").agg(F.max_by("consumed_s", "samples").alias("consumed_s"))
