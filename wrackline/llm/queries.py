@@ -141,4 +141,28 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 _ALL = (p1_found, p1_groups, p2_found, p2_coverage, p3_sequences, p3_fill, p4_found, p4_blocks, p4_clean, p5_found, p5_windows, p6_found, p6_probes, p7_found, p7_text, p8_ids, p8_decoded, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
+
+def _words(column: str) -> str:
+    return f"regexp_extract_all(lower(strip_accents({column})), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _alike(table: str, key: str, side: str, test: str) -> str:
+    return f"""with docs as (select distinct on ({key}) {key} as id, {side} as side, {_words('content')} as w from {table} where content is not null),
+sets as (select id, side, unnest(list_distinct([array_to_string(w[i : i + 2], ' ') for i in generate_series(1, len(w) - 2)])) as s from docs where len(w) > 2),
+sizes as (select id, count(*) as n from sets group by id),
+both as (select a.id as a, b.id as b, count(*) as n from sets a join sets b on a.s = b.s and a.id < b.id and {test} group by all),
+pairs as (select a, b from both join sizes x on x.id = a join sizes y on y.id = b where both.n >= 0.5 * (x.n + y.n - both.n)) select a as {key}_a, b as {key}_b from pairs"""
+
+
+ORACLES: dict[str, str] = {
+    "p1_found": _alike("corpus_records", "record_id", "''", "true"),
+    "p2_found": _alike("validated_records", "rec_id", "split", "a.side <> b.side and a.side in ('train', 'eval') and b.side in ('train', 'eval')"),
+    "p4_found": """with r as (select distinct record_id, source, content from corpus_records), l as (select record_id, source, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as line_no from r),
+w as (select record_id, source, line_no, trim(lower(regexp_replace(line, '[^A-Za-z]+', ' ', 'g'))) as wording from l), n as (select source, count(distinct record_id) as n from r group by source),
+k as (select w.source, wording from w join n on w.source = n.source where wording <> '' group by w.source, wording, n.n having count(distinct record_id) >= 3 and count(distinct record_id) * 50 >= n.n)
+select record_id, line_no::int as line_no from w join k on w.source = k.source and w.wording = k.wording""",
+    "p5_found": "select distinct recording_id, index from audio_windows where (case when end_s is null then recording_s else least(end_s, recording_s) end) - start_s > 30.001",
+    "p6_found": f"""with d as (select distinct rec_id, {_words('content')} as w from validated_records where split = 'train' and content is not null), p as (select id, {_words('prompt')} as w from probes),
+g as (select distinct rec_id, unnest([array_to_string(w[i : i + 7], ' ') for i in generate_series(1, len(w) - 7)]) as g from d where len(w) > 7), h as (select distinct id, unnest([array_to_string(w[i : i + 7], ' ') for i in generate_series(1, len(w) - 7)]) as g from p where len(w) > 7)
+select distinct rec_id, id as probe_id from g join h using (g)""",
+}
