@@ -133,6 +133,8 @@ class Lexicon:
 def header_of(text: str, paper: str, sections: set[str]) -> tuple[int, bool]:
     """Length of the running header that a block begins with (0: none), and whether it has a page number."""
     names = paper.split()
+    if not names:
+        return 0, False
     first = text.lstrip()
     skip = len(text) - len(first)
     found = _header_tokens(first, {*names, *DAYS, *MONTHS, *sections})
@@ -462,14 +464,14 @@ def repaired(df: DataFrame, lex: Lexicon) -> DataFrame:
             if page or not text[length:].strip():
                 continue
             rows.append((int(idx), heading is True or heading is np.True_, text[length:].strip()))
-        skip = False
+        skip = taken_before = False
         for n, (idx, heading, text) in enumerate(rows):
             cut_end = _END_CUT.search(text)
             follow = rows[n + 1][2] if n + 1 < len(rows) else None
             cuts = cut_words(text, follow, lex_)
             taken = bool(cut_end and cuts and cuts[-1][1] >= len(text.rstrip()))
             whole = _joined(text, cuts)
-            if skip and rows[n - 1][3:] == ():
+            if taken_before:
                 whole = re.sub(r"^\s*[^\W\d_]+", "", whole)
             for wrong, right in misread(whole, lex_):
                 if right:
@@ -484,6 +486,7 @@ def repaired(df: DataFrame, lex: Lexicon) -> DataFrame:
                 out[-1][2] += whole if whole[:1] in ".,;:!?'’" else " " + whole if whole else ""
             elif own or out and skip:
                 out.append([source, idx, whole, head])
+            taken_before = taken
             skip = taken or not head and goes_on(whole)
             if not own and not skip:
                 break
