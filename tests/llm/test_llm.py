@@ -251,7 +251,7 @@ def test_mixing_meets_shares(spark):
 
 
 def test_scans():
-    frequent = {w: 1000 for w in "the council met on monday and agreed that new plan would go ahead with half finished road mending gang january".split()}
+    frequent = {"reef": 5} | {w: 1000 for w in "the council met on monday and agreed that new plan would go ahead with half finished road mending gang january".split()}
     lex = scans.Lexicon(frequent, {"half-finished": 50}, {}, {"news", "sport"})
     found = lambda t, n=None: [w for *_, w in scans.cut_words(t, n, lex)]
     assert found("the coun-\ncil met") == ["council"] and found("the half-\nfinished road") == [] and found("the coun¬\ncil") == ["council"]

@@ -88,11 +88,15 @@ class Lexicon:
 
     def __init__(self, frequent: dict[str, int], compounds: dict[str, int], trigrams: dict[str, int], sections: set[str], vectors: dict[str, np.ndarray] | None = None):
         self.frequent, self.compounds, self.trigrams, self.sections, self.vectors = frequent, compounds, trigrams, sections, vectors or {}
+        self.floor = min(frequent.values(), default=1)
         self.links: dict[str, list[str]] = {}
 
-    def usual(self, word: str) -> int:
-        w = f"^{word}$"
-        return min(self.trigrams.get(w[i : i + 3], 0) for i in range(len(w) - 2))
+    def likelier(self, word: str, other: str) -> tuple[float, int]:
+        """How many times the rarest trigram that only `other` has is as frequent as that only `word` has, and its count."""
+        a, b = ({w[i : i + 3] for i in range(len(w) - 2)} for w in (f"^{word}$", f"^{other}$"))
+        ours = min((self.trigrams.get(t, 0) for t in a - b), default=0)
+        theirs = min((self.trigrams.get(t, 0) for t in b - a), default=0)
+        return theirs / (ours + 1), theirs
 
     def known(self, word: str) -> bool:
         return word in self.frequent
@@ -106,14 +110,18 @@ class Lexicon:
         if (out := self.links.get(word)) is None:
             if len(self.links) > 200_000:
                 self.links.clear()
-            found = dict.fromkeys(e for e in edits(word) if e in self.frequent and len(e) > 2)
+            # an edit that isn't sure must lead to a word well above the least frequent: two names may differ by it
+            sure = set(edits(word, SURE)) if word.isalpha() else ()
+            found = dict.fromkeys(e for e in edits(word) if len(e) > 2 and self.frequent.get(e, 0) >= (8 * self.floor if word.isalpha() and e not in sure else 1))
             if not found and len(word) > 4:
-                found = dict.fromkeys(f for e in edits(word) for f in edits(e) if f in self.frequent and len(f) > 4) if not word.isalpha() or bare(word) != word else {}
+                # two edits: of marks and digits any, of letters only those that are sure
+                glyphs = GLYPHS if not word.isalpha() or bare(word) != word else SURE
+                if glyphs is GLYPHS or len(word) > 6:
+                    found = dict.fromkeys(f for e in edits(word, glyphs) for f in edits(e, glyphs) if f in self.frequent and len(f) > 4)
             if not found and len(word) > 3:
-                own = self.usual(word)
-                better = [(self.usual(e), e) for e in edits(word, SURE) if e.isalpha() and e.isascii()]
-                if better and (best := max(better))[0] >= 8 * (own + 1) and best[0] >= 12:
-                    found = {best[1]: None}
+                better = [(*self.likelier(word, e), e) for e in edits(word, SURE) if e.isalpha() and e.isascii()]
+                if better and (best := max(better))[0] >= 6 and best[1] >= 10:
+                    found = {best[2]: None}
             out = self.links[word] = list(found)
         return out
 
