@@ -150,8 +150,8 @@ def _alike(table: str, key: str, side: str, test: str) -> str:
     return f"""with docs as (select distinct on ({key}) {key} as id, {side} as side, {_words('content')} as w from {table} where content is not null),
 sets as (select id, side, unnest(list_distinct([array_to_string(w[i : i + 2], ' ') for i in generate_series(1, len(w) - 2)])) as s from docs where len(w) > 2),
 sizes as (select id, count(*) as n from sets group by id),
-both as (select a.id as a, b.id as b, count(*) as n from sets a join sets b on a.s = b.s and a.id < b.id and {test} group by all),
-pairs as (select a, b from both join sizes x on x.id = a join sizes y on y.id = b where both.n >= 0.5 * (x.n + y.n - both.n)) select a as {key}_a, b as {key}_b from pairs"""
+common as (select a.id as a, b.id as b, count(*) as n from sets a join sets b on a.s = b.s and a.id < b.id and {test} group by all),
+pairs as (select a, b from common join sizes x on x.id = a join sizes y on y.id = b where common.n >= 0.5 * (x.n + y.n - common.n)) select a as {key}_a, b as {key}_b from pairs"""
 
 
 ORACLES: dict[str, str] = {
