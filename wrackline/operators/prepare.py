@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wrackline.functions.text import eval_choice, sha256, stripped
@@ -47,10 +47,20 @@ def windowed(records: DataFrame, least: int = 128, most: int = 4096) -> DataFram
 
 def with_split(kept: DataFrame, fraction: float = 0.01) -> DataFrame:
     """Kept records with `split`: the round(n * fraction) (half to even) least draws are eval."""
-    k = int(round(kept.count() * fraction))
-    order = [eval_choice(F.col("digest")), "tokens", "shard", "line_no"]
-    chosen = kept.orderBy(*order).limit(k).select("digest", F.lit("eval").alias("split"))
-    return kept.join(chosen, "digest", "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    # the draw's first 16 bits say which records surely are in; only those of one value are ranked
+    draws = kept.withColumn("_first", F.substring("digest", 1, 4))
+    counts = sorted((r["_first"], r["n"]) for r in draws.groupBy("_first").agg(F.count(F.lit(1)).alias("n")).collect())  # at most 65,536 rows
+    left, edge = int(round(sum(n for _, n in counts) * fraction)), ""
+    for edge, n in counts:
+        if n > left:
+            break
+        left -= n
+    else:
+        edge = "g"  # beyond all hex digits
+    order = Window.partitionBy("_first").orderBy(eval_choice(F.col("digest")), "tokens", "shard", "line_no")
+    inside = draws.where(F.col("_first") == edge).withColumn("_nth", F.row_number().over(order)).withColumn("split", F.when(F.col("_nth") <= left, "eval").otherwise("train")).drop("_nth")
+    others = draws.where(F.col("_first") != edge).withColumn("split", F.when(F.col("_first") < edge, "eval").otherwise("train"))
+    return others.unionByName(inside).drop("_first")
 
 
 def summary(records: DataFrame, seen: DataFrame, split: DataFrame) -> DataFrame:
