@@ -5,7 +5,7 @@ of the collection is compared with the examples by the exact cosine of TF-IDF ve
 words and word pairs, over an inverted index whose postings are held in blocks with the
 greatest weight of each: lists are added in the order of what they can still give, and
 examples whose blocks can't reach the best found so far are left out. The nearest examples
-vote, by the square of their cosines; a document's score is that of its worst sentence.
+vote, by the fourth power of their cosines; a document's score is that of its worst sentence.
 
 Labels are given to documents, so the harmless sentences of a labelled document carry its
 label, too. They are found by the same vote, each example judged by those of other documents,
@@ -78,6 +78,9 @@ class Index:
         self.start = np.searchsorted(feature[order], np.arange(len(idf) + 1))
         self.most = np.zeros(len(idf), np.float32)
         np.maximum.at(self.most, feature, weight)
+        self.sizes = np.diff(self.start)
+        edges = self.start.tolist()
+        self.lists = [(self.example[a:b], self.weight[a:b]) for a, b in zip(edges, edges[1:])]
         self.blocks: dict[int, np.ndarray] = {}
         for f in np.flatnonzero(np.diff(self.start) > self.LONG):
             best = np.zeros(self.n // self.BLOCK + 1, np.float32)
@@ -91,24 +94,33 @@ class Index:
             return np.empty(0, np.int64), np.empty(0, np.float32)
         w = self.idf[q]
         w = w / np.sqrt((w**2).sum())
-        length = self.start[q + 1] - self.start[q]
-        gain = w * self.most[q]
-        order = np.lexsort((-gain, length > self.LONG))
-        q, w, gain, length = q[order], w[order], gain[order], length[order]
-        left = np.append(np.cumsum(gain[::-1])[::-1], 0)
-        score = np.zeros(self.n, np.float32)
+        length = self.sizes[q]
+        brief = length <= self.LONG
+        brief &= length > 0
+        few = q[brief].tolist()
+        if few:
+            at = np.concatenate([self.lists[f][0] for f in few])
+            score = np.bincount(at, np.repeat(w[brief], length[brief]) * np.concatenate([self.lists[f][1] for f in few]), self.n)
+        else:
+            score = np.zeros(self.n)
+        long = length > self.LONG
+        q, w = q[long], w[long]
+        if without is not None:
+            score[without] = -9
         i, least = 0, 0.0
-        for i in range(len(q) + 1):
-            if i == len(q):
-                break
-            if length[i] > self.LONG:  # is what is left still enough to bring in an example not seen so far?
+        if len(q):
+            gain = w * self.most[q]
+            order = np.argsort(-gain, kind="stable")
+            q, w, gain = q[order], w[order], gain[order]
+            left = np.cumsum(gain[::-1])[::-1]
+            for i in range(len(q) + 1):
                 near = score[score > 0]
-                if len(near) >= k and (least := float(np.partition(near, -k)[-k])) >= left[i]:
-                    break
-            at = slice(self.start[q[i]], self.start[q[i] + 1])
-            score[self.example[at]] += w[i] * self.weight[at]
-            if without is not None:
-                score[without] = -9
+                if i == len(q) or len(near) >= k and (least := float(np.partition(near, -k)[-k])) >= left[i]:
+                    break  # what is left can't bring in an example not seen so far
+                at, weight = self.lists[q[i]]
+                score[at] += w[i] * weight
+                if without is not None:
+                    score[without] = -9
         near = np.flatnonzero(score > 0)
         if i < len(q):  # only examples whose blocks can still lift them to the k best
             hope = score[near].copy()
@@ -180,8 +192,8 @@ class Judge:
     def vote(self, near: np.ndarray, similar: np.ndarray) -> float:
         if not len(near):
             return 0.0
-        w = similar.astype(np.float64) ** 2
-        return float((w * self.bad[near]).sum() / (w.sum() + 0.05))
+        w = similar.astype(np.float64) ** 4
+        return float((w * self.bad[near]).sum() / (w.sum() + 0.01))
 
     def judge(self, sentence: str) -> tuple[float, int]:
         """Vote and the document of the nearest bad example."""
