@@ -120,3 +120,16 @@ def test_folds_and_plans(spark):
     assert S.metered(samples, "run", "ts", "w").agg(F.max("consumed_s")).first()[0] == 15.0
     looks = spark.createDataFrame([("r", "a", 1), ("r", "b", 2), ("q", "a", 1)], "run_id string, path string, size int")
     assert rows(S.complete(looks, looks, ["a", "b"])) == [("r",)]
+
+
+def test_literal_transcripts_have_all_windows(spark, tmp_path):
+    from wrackline.plans import catalogue
+
+    draw = random.Random(5)
+    ends = [0.05, 0.25, 0.75, 2.25, 129.85, 129.95, 30.0, 55.5, 1.005, 1234.45, 99.95, 0.04, *(round(draw.uniform(0, 4000), 3) for _ in range(150)), *(draw.randrange(40000) / 20 for _ in range(150))]
+    made = [(f"r{i % 7}", i, draw.choice([i * 25.0, i + 0.25, i / 20]), e, f"text {i}") for i, e in enumerate(ends)]
+    odd = [("r0", 900, None, 1.0, "x"), ("r0", 901, 1.0, None, "x"), ("r0", 902, 1.0, 2.0, None), ("none", 0, None, None, None)]
+    df = spark.createDataFrame(made + odd + made[:3], "recording_id string, index int, start_s double, end_s double, transcript string")
+    df.withColumns({"generation_tokens": F.lit(1.0), "latency_ms": F.lit(1)}).write.parquet(str(tmp_path / "audio_windows.parquet"))
+    want = {r: "\n\n".join(f"[{s:.1f}s-{e:.1f}s] {t}" for k, _, s, e, t in made if k == r) for r in {m[0] for m in made}}
+    assert dict(rows(catalogue.literal_transcripts(spark, str(tmp_path)))) == want

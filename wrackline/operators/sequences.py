@@ -30,7 +30,9 @@ def frame_times(start: Column, end: Column, n: int) -> Column:
 
 def literal(rows: DataFrame) -> DataFrame:
     """`recording_id, text`: time-tagged transcripts one under the other."""
-    line = F.concat(F.lit("["), F.format_string("%.1f", "start_s"), F.lit("s-"), F.format_string("%.1f", "end_s"), F.lit("s] "), F.col("transcript"))
+    # by the exact value, ties to the even digit, as Python and C print; format_string rounds the shortest decimal up
+    tenths = lambda c: F.call_function("format_number", F.col(c).cast("double"), F.lit("0.0"))
+    line = F.concat(F.lit("["), tenths("start_s"), F.lit("s-"), tenths("end_s"), F.lit("s] "), F.col("transcript"))
     held = F.array_sort(F.collect_list(F.struct("index", line.alias("line"))))
     return rows.groupBy("recording_id").agg(F.array_join(F.transform(held, lambda x: x["line"]), "\n\n").alias("text"))
 
