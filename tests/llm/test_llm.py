@@ -277,6 +277,23 @@ def test_scans_in_spark(spark):
     assert text[21] == body and 20 not in text and 22 not in text and 23 not in text
 
 
+def test_sections_do_not_depend_on_size(spark):
+    headers = ["The Bell | News | 12.1.1998"] * 60 + ["The Bell | Ncws | 12.1.1998", "Mondav, June 24, 1955 The Bell"]
+    for times in (1, 10):
+        rows = [("the-bell_1998", i, t, False) for i, t in enumerate(headers * times)]
+        df = spark.createDataFrame(rows, "source string, idx int, text string, is_heading boolean").withColumn("scanned_at", F.lit(None).cast("timestamp"))
+        lex = scans.lexicon(df, vectors=False)
+        assert lex.sections == {"news"}
+        got = {(r.idx % len(headers), r.kind) for r in scans.damage(df, lex).collect()}
+        assert got == {(i, "header") for i in range(62)} | {(60, "ocr"), (61, "ocr")}, times
+        assert {r.idx for r in scans.damage(df, lex).where("kind = 'ocr'").collect()} == {i for i in range(62 * times) if i % 62 >= 60}
+    # all sections, however many, but not what is left of a misread word
+    names = [f"{a}{b}sec" for a in "abcdefghijklmnop" for b in "abcdefghijklmnop"]
+    texts = [f"Bell | {n} | 12.1.1998" for n in names for _ in range(5)] + ["NEW5 - The Bell"] * 6
+    df = spark.createDataFrame([("the-bell_1998", i, t) for i, t in enumerate(texts)], "source string, idx int, text string")
+    assert scans.lexicon(df, vectors=False).sections == set(names)
+
+
 def test_index_is_exact():
     draw = np.random.default_rng(3)
     idf = draw.uniform(0.1, 5, 80)

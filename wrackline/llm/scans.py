@@ -29,6 +29,8 @@ from wrackline.session import cut
 
 #: Blocks of a chunk, and blocks of the next one that it sees.
 CHUNK, AHEAD = 1024, 12
+#: Share of the headers with one word beside name and date that a section has; how many times as frequent the section is that a word was misread from.
+SECTION, FAR = 1e-3, 20
 #: Glyphs as read -> as they may have been printed.
 GLYPHS = {
     "rn": ["m"], "m": ["rn"], "cl": ["d"], "d": ["cl"], "li": ["h"], "h": ["li", "b"], "b": ["h"], "vv": ["w"], "w": ["vv"], "ii": ["u", "n"], "u": ["n", "ii"], "n": ["u", "ri", "ii"], "ri": ["n"],
@@ -319,7 +321,8 @@ def lexicon(blocks: DataFrame, part: float = 2e-4, least: int = 5, vectors: bool
     """Counts over all blocks (`source, idx, text`), reduced to tables of bounded size.
 
     A word is frequent if it stands in at least `part` of the blocks, `least` at least: there are
-    at most (words of a block) / part of them.
+    at most (words of a block) / part of them. A section is the one word beside name and date of
+    at least SECTION of the headers, `least` at least: there are at most 1 / SECTION of them.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,8 +334,8 @@ def lexicon(blocks: DataFrame, part: float = 2e-4, least: int = 5, vectors: bool
                 line = text.strip().split("\n")[0].lower()
                 name = _paper(source)
                 if name and name in line and len(line) < len(name) + 24:
-                    rest = [w for w in re.findall(r"[a-z]+", line.replace(name, " ")) if w not in DAYS | MONTHS | PAGE | COUNTS | {"the"}]
-                    if len(rest) == 1:
+                    rest = [w for t in tokens(line.replace(name, " ")) if any(c.isalpha() for c in t) and (w := t.strip("|" + _STRIP)) not in DAYS | MONTHS | PAGE | COUNTS | {"the"}]
+                    if len(rest) == 1 and rest[0].isalpha():
                         seen.add(("s", rest[0]))
                 for k in seen:
                     n[k] = n.get(k, 0) + 1
@@ -344,14 +347,20 @@ def lexicon(blocks: DataFrame, part: float = 2e-4, least: int = 5, vectors: bool
     floor = max(least, part * total)
     frequent = counts.where((F.col("kind") == "w") & (F.col("n") >= floor)).select("word", "n").toPandas()
     compounds = counts.where((F.col("kind") == "c") & (F.col("n") >= max(2, floor / 8))).select("word", "n").toPandas()
-    sections = counts.where((F.col("kind") == "s") & (F.col("n") >= 5)).orderBy(F.desc("n"), "word").limit(200).select("word").toPandas()
+    headers = counts.where("kind = 's'").agg(F.sum("n")).first()[0] or 0
+    named = counts.where((F.col("kind") == "s") & (F.col("n") >= max(least, SECTION * headers))).select("word", "n").toPandas()
     rare = counts.where((F.col("kind") == "w") & (F.col("n") < floor) & F.col("word").rlike("^[a-z]{4,24}$"))
     spelt = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     grams = rare.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(spelt) - 2), lambda i: F.substring(spelt, i, F.lit(3)))).alias("gram"))
     trigrams = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 28 ** 3 rows
     words = dict(zip(frequent["word"], frequent["n"].astype(int)))
     learned = skip_grams(known, sorted(words)) if vectors and words else {}
-    return Lexicon(words, dict(zip(compounds["word"], compounds["n"].astype(int))), dict(zip(trigrams["gram"], trigrams["n"].astype(int))), set(sections["word"]), learned)
+    return Lexicon(words, dict(zip(compounds["word"], compounds["n"].astype(int))), dict(zip(trigrams["gram"], trigrams["n"].astype(int))), _sections(dict(zip(named["word"], named["n"].astype(int)))), learned)
+
+
+def _sections(named: dict[str, int]) -> set[str]:
+    """The words of headers without those that are misread: one glyph edit from a far more frequent one, a day or a month."""
+    return {w for w, n in named.items() if not any(e in DAYS or e in MONTHS or named.get(e, 0) > FAR * n for e in edits(w))}
 
 
 def skip_grams(blocks: DataFrame, words: list[str], size: int = 24, seed: int = 7) -> dict[str, np.ndarray]:
