@@ -133,3 +133,11 @@ def test_literal_transcripts_have_all_windows(spark, tmp_path):
     df.withColumns({"generation_tokens": F.lit(1.0), "latency_ms": F.lit(1)}).write.parquet(str(tmp_path / "audio_windows.parquet"))
     want = {r: "\n\n".join(f"[{s:.1f}s-{e:.1f}s] {t}" for k, _, s, e, t in made if k == r) for r in {m[0] for m in made}}
     assert dict(rows(catalogue.literal_transcripts(spark, str(tmp_path)))) == want
+
+
+def test_sentence_counts_have_all_documents(spark, tmp_path):
+    from wrackline.plans import catalogue
+
+    texts = ["One. Two!\x0bThree?\x0b Four", None, "", "No end", "A.\u000b\tB."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert dict(rows(catalogue.sentence_counts(spark, str(tmp_path)))) == {0: 4, 1: None, 2: 1, 3: 1, 4: 2}

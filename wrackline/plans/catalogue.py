@@ -119,7 +119,9 @@ def article_chunks(spark, folder):
 
 @query("select doc_id, len(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)))::bigint as sentences from documents where text is not null and not contains(text, chr(11))")
 def sentence_counts(spark, folder):
-    return table(spark, folder, "documents").where("text is not null and not contains(text, chr(11))").select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("sentences"))
+    """All documents, a null text with a null count; the SQL leaves out null texts and those with a vertical tab."""
+    count = F.when(F.col("text").isNotNull(), F.size(T.sentences(F.col("text"))))
+    return table(spark, folder, "documents").select("doc_id", count.cast("bigint").alias("sentences"))
 
 
 @query(f"select distinct record_id, not regexp_matches(content, {q(P.LOCAL_TERMS)}) and regexp_matches(content, {q(P.FOREIGN_TERMS)}) as off_domain, {COUNT.format('content')} < 80 as short from corpus_records where content is not null")
