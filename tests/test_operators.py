@@ -1,4 +1,5 @@
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +142,22 @@ def test_sentence_counts_have_all_documents(spark, tmp_path):
     texts = ["One. Two!\x0bThree?\x0b Four", None, "", "No end", "A.\u000b\tB."]
     spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert dict(rows(catalogue.sentence_counts(spark, str(tmp_path)))) == {0: 4, 1: None, 2: 1, 3: 1, 4: 2}
+
+
+def test_continuation_is_the_plain_loop():
+    def plain(before, words):
+        reach, drop, span, best = min(60, len(before), len(words)), 0, 0, 0.0
+        for n in range(2, reach + 1):
+            for m in range(max(2, n - 4), min(reach, n + 4) + 1):
+                like = SequenceMatcher(None, S._key(before[-n:]), S._key(words[:m])).ratio()
+                if like >= 0.72 and (like > best + 0.02 or abs(like - best) <= 0.02 and min(n, m) > span):
+                    drop, span, best = m, min(n, m), like
+        return words[drop:]
+
+    draw = random.Random(11)
+    stock = "and the reef cane lamp tide quay boat fish sail wind rain sand hill road town".split()
+    for size in (3, 12, 30, 40, 45, 50):
+        for year in ([], ["1987"]):
+            before, tail, after = ([draw.choice(words) for _ in range(k)] for k, words in ((30, "aio"), (size, [w[:3] for w in stock] if size < 48 else stock), (30, "uey")))
+            tail[size // 2 : size // 2] = year
+            assert S.continuation(before + tail, tail + after) == plain(before + tail, tail + after), (size, year)

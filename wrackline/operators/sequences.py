@@ -50,12 +50,11 @@ def continuation(before: list[str], words: list[str], most: int = 60, least: flo
     ends = [_key(before[-n:]) for n in range(reach + 1)]
     heads = [_key(words[:m]) for m in range(reach + 1)]
     sizes = [(n, m) for n in range(2, reach + 1) for m in range(max(2, n - 4), min(reach, n + 4) + 1)]
-    # an equal pair beats all below 0.98, whether they come before or after it, so those need no measuring
-    needed = max(least, 0.98) if any(ends[n] == heads[m] for n, m in sizes) else least
     drop, span, best = 0, 0, 0.0
     for n, m in sizes:
         pair = SequenceMatcher(None, ends[n], heads[m])
-        floor = max(needed, best - 0.02)
+        # the best may go down by 0.02 at a time to longer spans, so only what lies further below it can be left out
+        floor = max(least, best - 0.02 - 1e-9)
         if pair.real_quick_ratio() < floor or pair.quick_ratio() < floor:
             continue
         like = pair.ratio()
