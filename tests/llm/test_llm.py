@@ -277,6 +277,15 @@ def test_scans_in_spark(spark):
     assert text[21] == body and 20 not in text and 22 not in text and 23 not in text
 
 
+def test_overlong_windows_are_those_cut(spark, monkeypatch):
+    rows = [("r", 0, 0.0, 30.0, 100.0, []), ("r", 1, 0.0, 30.001, 100.0, None), ("r", 2, 0.0, 30.002, 100.0, None), ("r", 3, 5.0, None, 95.0, [12.0, 40.0]), ("r", 4, 0.0, 90.0, 20.0, []), ("r", 5, None, 90.0, 90.0, []), ("r", 6, 0.0, 1800.0, 1800.0, [20.5])]
+    df = spark.createDataFrame(rows, "recording_id string, index int, start_s double, end_s double, recording_s double, pauses array<double>").withColumn("created_at", F.lit(None).cast("timestamp"))
+    assert sorted(r["index"] for r in cutting.overlong(df).collect()) == [2, 3, 6]
+    # nothing is cut, so nothing is found
+    monkeypatch.setattr(cutting, "pieces", lambda *a, **k: F.array(F.lit(1)))
+    assert cutting.overlong(df).count() == 0
+
+
 def test_sections_do_not_depend_on_size(spark):
     headers = ["The Bell | News | 12.1.1998"] * 60 + ["The Bell | Ncws | 12.1.1998", "Mondav, June 24, 1955 The Bell"]
     for times in (1, 10):

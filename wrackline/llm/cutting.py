@@ -76,9 +76,12 @@ def recording_windows(df: DataFrame) -> DataFrame:
 def overlong(df: DataFrame, limit: float = 30.0) -> DataFrame:
     """`recording_id, index` of the windows longer than the limit by more than a millisecond.
 
-    Windows whose start or end is unknown are no case.
+    Taken from the windows that are cut into more than one piece, then checked exactly. Windows
+    whose start or end is unknown are no case.
     """
-    return recording_windows(df).where(F.col("until_s") - F.col("start_s") > limit + SLACK).select("recording_id", "index")
+    rows = recording_windows(df)
+    parts = rows.withColumn("_n", F.size(pieces(F.col("start_s"), F.col("until_s"), F.col("pauses"), limit)))
+    return parts.where((F.col("_n") > 1) & (F.col("until_s") - F.col("start_s") > limit + SLACK)).select("recording_id", "index")
 
 
 def cut_windows(df: DataFrame, limit: float = 30.0, overlap: float = 5.0) -> DataFrame:
