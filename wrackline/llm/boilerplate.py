@@ -80,12 +80,24 @@ def blocks(df: DataFrame, key: str, source: str, text: str, at: str | None = Non
     return nodes.join(named, "node", "left").select("source", "wording", "records", "of", F.coalesce("block", "node").alias("block"))
 
 
+def block_lines(df: DataFrame, key: str, source: str, text: str, at: str | None = None, least: int = 3, percent: float = 2.0) -> DataFrame:
+    """`id, source, line_no, wording, block`: every occurrence of a wording of the graph's blocks, a single node being a block of its own.
+
+    Their counts are the exact check; rows are those of `repeated_lines`.
+    """
+    records = latest(df.select(F.col(key).alias("id"), F.col(source).alias("source"), F.col(text).alias("text"), *([F.col(at).alias("at")] if at else [])), "id", "at" if at else None)
+    enough = (F.col("records") >= least) & (F.col("records") * 100.0 >= F.col("of") * percent)
+    kept = blocks(df, key, source, text, at, least, percent).where(enough).select(F.col("source").alias("_source"), F.col("wording").alias("_wording"), "block")
+    hit = lines(records).where("wording <> ''").join(kept, F.col("source").eqNullSafe(F.col("_source")) & (F.col("wording") == F.col("_wording")))
+    return hit.select("id", "source", "line_no", "wording", "block")
+
+
 def without_lines(df: DataFrame, key: str, source: str, text: str, at: str | None = None, least: int = 3, percent: float = 2.0) -> DataFrame:
     """`id, source, text, removed`: each record once, its text without the repeated lines.
 
     Null texts stay null. The line breaks around a deleted line close up to one.
     """
-    hits = repeated_lines(df, key, source, text, at, least, percent).groupBy("id").agg(F.collect_set("line_no").alias("gone"))
+    hits = block_lines(df, key, source, text, at, least, percent).groupBy("id").agg(F.collect_set("line_no").alias("gone"))
     records = latest(df.select(F.col(key).alias("id"), F.col(source).alias("source"), F.col(text).alias("text"), *([F.col(at).alias("at")] if at else [])), "id", "at" if at else None)
     rows = records.join(hits, "id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("gone", (i + 1).cast("int")))

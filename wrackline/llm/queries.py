@@ -37,7 +37,7 @@ def p2_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     records = table(spark, folder, "corpus_records")
-    return boilerplate.repeated_lines(records, "record_id", "source", "content", "extracted_at").select(F.col("id").alias("record_id"), "line_no")
+    return boilerplate.block_lines(records, "record_id", "source", "content", "extracted_at").select(F.col("id").alias("record_id"), "line_no")
 
 
 def p4_blocks(spark: SparkSession, folder: str) -> DataFrame:
