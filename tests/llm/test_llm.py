@@ -320,8 +320,7 @@ def test_index_is_exact():
     draw = np.random.default_rng(3)
     idf = draw.uniform(0.1, 5, 80)
     rows = [sorted(set(np.minimum(draw.geometric(0.06, 12) - 1, 79).tolist())) for _ in range(900)]
-    index = toxicity.Index(rows, idf)
-    index.LONG = 256
+    index = toxicity.Index(toxicity.Units(np.concatenate(rows), np.array([len(r) for r in rows]), np.zeros(900)), idf)
     dense = np.zeros((900, 80))
     for i, r in enumerate(rows):
         dense[i, r] = idf[r]
@@ -330,7 +329,7 @@ def test_index_is_exact():
         v = np.zeros(80)
         v[query] = idf[query]
         want = np.sort(dense @ (v / np.linalg.norm(v)))[::-1][:10]
-        near, value = index.nearest(query, 10)
+        near, value = index.nearest(np.array(query), 10)
         assert np.allclose(np.sort(value)[::-1], want, atol=1e-5)
 
 
