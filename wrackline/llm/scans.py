@@ -9,8 +9,9 @@ letters into a usual one, by the trigrams of all rare words.
 
 Running headers, page numbers and words cut at line or block ends are recognised first; then
 blocks are put right and reflowed into paragraphs and headings, edition by edition. An edition
-is worked on in chunks of blocks that see a few blocks of the next, so a bound volume with a
-third of all rows is many tasks.
+is worked on in chunks of blocks, so a bound volume with a third of all rows is many tasks. What
+a chunk has to know of the others is the running text before it and after it, wherever that
+stands: found by a row for each chunk, not by looking a fixed number of blocks ahead.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 
 from wrackline.session import cut
 
-#: Blocks of a chunk, and blocks of the next one that it sees.
-CHUNK, AHEAD = 1024, 12
+#: Blocks of a chunk: it bounds a task's rows, no result depends on it.
+CHUNK = 1024
+#: Least cosine of a word with the words around it for which an unsure edit to a less frequent word is believed.
+FIT = 0.6
 #: Share of the headers with one word beside name and date that a section has; how many times as frequent the section is that a word was misread from.
 SECTION, FAR = 1e-3, 20
 #: Glyphs as read -> as they may have been printed.
@@ -41,9 +45,9 @@ GLYPHS = {
 #: Those that are believed in names, too, where no frequent word speaks for them.
 SURE = {"c": ["e"], "b": ["h"], "cl": ["d"], "ri": ["n"], "rn": ["m"], "m": ["rn"], "vv": ["w"], "v": ["y"], "ii": ["u"], "li": ["h"]}
 #: Words of dates and page numbers.
-DAYS = {"monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"}
-MONTHS = {"january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec"}
-COUNTS = {"one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty"}
+DAYS = frozenset({"monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"})
+MONTHS = frozenset({"january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec"})
+COUNTS = frozenset({"one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty"})
 PAGE = {"page", "p", "pg", "pp"}
 
 _DIGIT = "0-9IlOoSQ!|ZBi"
@@ -56,6 +60,7 @@ _LINE_CUT = re.compile(rf"([^\W\d_]+(?:['’][^\W\d_]+)?)[{_CUT}][ \t]*\r?\n[ \t
 _LOST_CUT = re.compile(rf"([^\W\d_]+)(?:- +|[¬­‐][ \t]*)([^\W\d_]+)")
 _END_CUT = re.compile(rf"([^\W\d_]+)[{_CUT}]\s*$")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
+_POSSESSIVE = re.compile(r"['’]s?$")
 _STRIP = ".,;:!?\"'()[]“”‘’«»—–-…"
 _ODD = re.compile(r"[}{†‡§|@*~^_<>\\=#•¢€£°¦¬ﬁﬂ]")
 _MIXED_FINE = re.compile(r"\$?[\d.,:/-]+(?:st|nd|rd|th|s|am|pm|m|km|kg|ft|lb|[A-H])?|[A-H]\d+")
@@ -69,9 +74,10 @@ def tokens(text: str) -> list[str]:
     return [w for t in text.split() if (w := t.strip(_STRIP))]
 
 
+@lru_cache(500_000)
 def parts_of(word: str) -> list[str]:
     """A token's words for counting: compound parts apart, possessives without their end, lower case."""
-    return [re.sub(r"['’]s?$", "", p) for p in word.lower().split("-") if p]
+    return [_POSSESSIVE.sub("", p) for p in word.lower().split("-") if p]
 
 
 def edits(word: str, glyphs: dict[str, list[str]] = GLYPHS) -> Iterator[str]:
@@ -89,9 +95,12 @@ class Lexicon:
     """Frequent words, compounds, trigrams of rare words, sections of headers, vectors."""
 
     def __init__(self, frequent: dict[str, int], compounds: dict[str, int], trigrams: dict[str, int], sections: set[str], vectors: dict[str, np.ndarray] | None = None):
-        self.frequent, self.compounds, self.trigrams, self.sections, self.vectors = frequent, compounds, trigrams, sections, vectors or {}
+        self.frequent, self.compounds, self.trigrams, self.sections, self.vectors = frequent, compounds, trigrams, frozenset(sections), vectors or {}
         self.floor = min(frequent.values(), default=1)
         self.links: dict[str, list[str]] = {}
+        self.plain_tokens: dict[str, bool] = {}
+        #: Frequent words that are one glyph edit from a far more frequent one: themselves misread, often.
+        self.doubtful = {w for w, n in frequent.items() if len(w) > 2 and any(frequent.get(e, 0) > 200 * n for e in edits(w))}
 
     def likelier(self, word: str, other: str) -> tuple[float, int]:
         """How many times the rarest trigram that only `other` has is as frequent as that only `word` has, and its count."""
@@ -107,6 +116,27 @@ class Lexicon:
         """Whether all parts of a token are frequent."""
         return all(p in self.frequent for p in parts_of(token))
 
+    def plain(self, token: str) -> bool:
+        """Whether a token is as printed beyond doubt: frequent words without odd signs or digits in it."""
+        if (out := self.plain_tokens.get(token)) is None:
+            if len(self.plain_tokens) > 500_000:
+                self.plain_tokens.clear()
+            raw = token.strip(_STRIP)
+            letters = all(c.isalpha() or c in "-'’" for c in raw)
+            out = bool(raw) and letters and (len(raw) > 1 or raw in "aI") and not _ODD.search(raw) and all(p in self.frequent and p not in self.doubtful for p in parts_of(raw))
+            self.plain_tokens[token] = out
+        return out
+
+    def fitting(self, word: str, near: list[np.ndarray]) -> str | None:
+        """Of the frequent words one edit away, however rare among these, the one that is near in meaning to the words around."""
+        if not near or not word.isalpha() or len(word) < 4:
+            return None
+        mean = np.mean(near, axis=0)
+        mean = mean / (np.linalg.norm(mean) + 1e-9)
+        fit = {e: float(self.vectors[e] @ mean) for e in edits(word) if len(e) > 2 and e in self.vectors and e in self.frequent}
+        best = max(fit, key=lambda e: (fit[e], e), default=None)
+        return best if best is not None and fit[best] >= FIT else None
+
     def linked(self, word: str) -> list[str]:
         """Frequent words, or for a name the likelier spelling, that a rare word may be a misreading of."""
         if (out := self.links.get(word)) is None:
@@ -130,9 +160,9 @@ class Lexicon:
     def meant(self, word: str, around: list[str]) -> str | None:
         """The linked word nearest in meaning to the words around it; the most frequent without vectors."""
         options = self.linked(word)
+        near = [self.vectors[a] for a in around if a in self.vectors] if len(options) != 1 else []
         if not options:
-            return None
-        near = [self.vectors[a] for a in around if a in self.vectors]
+            return self.fitting(word, near)
         if near and len(options) > 1:
             mean = np.mean(near, axis=0)
             fit = {o: float(self.vectors[o] @ mean) if o in self.vectors else -1.0 for o in options}
@@ -140,25 +170,25 @@ class Lexicon:
         return max(options, key=lambda o: self.frequent.get(o, 0))
 
 
-def header_of(text: str, paper: str, sections: set[str]) -> tuple[int, bool]:
+def header_of(text: str, paper: str, sections: frozenset[str]) -> tuple[int, bool]:
     """Length of the running header that a block begins with (0: none), and whether it has a page number."""
     names = paper.split()
     if not names:
         return 0, False
-    first = text.lstrip()
+    first, sections = text.lstrip(), frozenset(sections)
     skip = len(text) - len(first)
-    found = _header_tokens(first, {*names, *DAYS, *MONTHS, *sections})
+    found = _Lazy(_header_tokens(first, _known(paper, sections)))
     end = at = 0
     name = day = section = page = False
     numbers = months = 0
-    while at < len(found):
+    while found.has(at):
         raw, stop = found[at]
         word = raw.strip(_STRIP).lower()
-        if not name and _like([t.strip(_STRIP).lower() for t, _ in found[at : at + len(names)]], names):
+        if not name and _like([t.strip(_STRIP).lower() for t, _ in found.some(at, at + len(names))], names):
             name, at = True, at + len(names)
             end = found[at - 1][1]
             continue
-        if not name and word == "the" and _like([t.strip(_STRIP).lower() for t, _ in found[at + 1 : at + 1 + len(names)]], names):
+        if not name and word == "the" and _like([t.strip(_STRIP).lower() for t, _ in found.some(at + 1, at + 1 + len(names))], names):
             at += 1
             continue
         if not word or word == "|":
@@ -183,35 +213,63 @@ def header_of(text: str, paper: str, sections: set[str]) -> tuple[int, bool]:
             break
         end = stop
         at += 1
-        if name and "\n" in first[end : found[at][1] - len(found[at][0]) if at < len(found) else end]:
+        if name and "\n" in first[end : found[at][1] - len(found[at][0]) if found.has(at) else end]:
             break
     if not name or not (day or months or section or page or (numbers and end >= len(first.rstrip()))):
         return (len(text), False) if name and end >= len(first.rstrip()) else (0, False)
     return skip + end, page or numbers > (2 if months else 0)
 
 
-def _header_tokens(text: str, known: set[str]) -> list[tuple[str, int]]:
-    """The first words of a text and where they end; words read with spaces in them are joined."""
-    found = [(m.group(), m.end()) for m in list(re.finditer(r"\S+", text))[:40]]
-    out: list[tuple[str, int]] = []
-    i = 0
-    while i < len(found) and len(out) < 16:
-        run = i
-        while run < len(found) and len(found[run][0]) == 1 and found[run][0].isalpha():
+def _header_tokens(text: str, known: frozenset[str]) -> Iterator[tuple[str, int]]:
+    """The words of a text and where they end; words read with spaces in them are joined."""
+    words = re.finditer(r"\S+", text)
+    ahead: list[tuple[str, int]] = []
+
+    def more(n: int) -> bool:
+        while len(ahead) <= n and (m := next(words, None)):
+            ahead.append((m.group(), m.end()))
+        return len(ahead) > n
+
+    while more(0):
+        run = 0
+        while more(run) and len(ahead[run][0]) == 1 and ahead[run][0].isalpha():
             run += 1
-        if run - i >= 3:
-            out.append(("".join(t for t, _ in found[i:run]), found[run - 1][1]))
-            i = run
-        elif run > i and i + 1 < len(found) and (found[i][0] + found[i + 1][0]).strip(_STRIP).lower() in known:
-            out.append((found[i][0] + found[i + 1][0], found[i + 1][1]))
-            i += 2
+        if run >= 3:
+            yield "".join(t for t, _ in ahead[:run]), ahead[run - 1][1]
+            del ahead[:run]
+        elif run and more(1) and (ahead[0][0] + ahead[1][0]).strip(_STRIP).lower() in known:
+            yield ahead[0][0] + ahead[1][0], ahead[1][1]
+            del ahead[:2]
         else:
-            out.append(found[i])
-            i += 1
-    return out
+            yield ahead.pop(0)
+
+
+class _Lazy:
+    """A sequence over an iterator, read as far as it is asked for."""
+
+    def __init__(self, items: Iterator):
+        self.items, self.held = items, []
 
+    def has(self, n: int) -> bool:
+        while len(self.held) <= n and (x := next(self.items, None)) is not None:
+            self.held.append(x)
+        return len(self.held) > n
 
-def _near(word: str, words: set[str]) -> bool:
+    def __getitem__(self, n: int):
+        return self.held[n] if self.has(n) else None
+
+    def some(self, a: int, b: int) -> list:
+        self.has(b - 1)
+        return self.held[a:b]
+
+
+@lru_cache(100_000)
+def _known(paper: str, sections: frozenset[str]) -> frozenset[str]:
+    return frozenset({*paper.split(), *DAYS, *MONTHS, *sections})
+
+
+@lru_cache(200_000)
+def _near(word: str, words: frozenset[str]) -> bool:
     return word not in words and any(e in words for e in edits(word))
 
 
@@ -222,6 +280,7 @@ def _like(read: list[str], names: list[str]) -> bool:
     return not wrong or wrong <= max(1, len(names) // 2) and all(a == b or _alike(a, b) for a, b in zip(read, names))
 
 
+@lru_cache(200_000)
 def _alike(a: str, b: str) -> bool:
     if bare(a) == b or b in edits(a):
         return True
@@ -246,7 +305,10 @@ def cut_words(text: str, following: str | None, lex: Lexicon) -> list[tuple[int,
         compound = lex.compounds.get(f"{a}-{b}", 0)
         return soft or compound <= lex.frequent.get(a + b, 0) or not compound
 
+    soft_sign = any(c in text for c in _CUT[1:])
     for pattern in (_LINE_CUT, _LOST_CUT):
+        if not soft_sign and (("- " if pattern is _LOST_CUT else "-") not in text or pattern is _LINE_CUT and "\n" not in text):
+            continue
         for m in pattern.finditer(text):
             soft = any(c in m[0] for c in "¬­‐")
             if pattern is _LOST_CUT and not soft and (m[1].lower() + m[2].lower() not in lex.frequent and lex.known(m[1].lower()) and lex.known(m[2].lower())):
@@ -268,6 +330,9 @@ def misread(text: str, lex: Lexicon) -> list[tuple[str, str | None]]:
     out: list[tuple[str, str | None]] = []
     i = 0
     while i < len(words):
+        if lex.plain(words[i]) and (i + 1 == len(words) or lex.plain(words[i + 1])):
+            i += 1
+            continue
         w, raw = low[i], words[i].strip(_STRIP)
         if not w:
             if any(c in _ODD.findall(words[i]) for c in words[i]):
@@ -283,7 +348,7 @@ def misread(text: str, lex: Lexicon) -> list[tuple[str, str | None]]:
             continue
         around = low[max(0, i - 4) : i] + low[i + 1 : i + 5]
         if i + 1 < len(words) and low[i + 1] and words[i][-1].isalpha() and words[i + 1][0].isalpha():
-            b = re.sub(r"['’]s?$", "", low[i + 1])
+            b = _POSSESSIVE.sub("", low[i + 1])
             whole = w + b
             first = lex.whole(w) and (len(w) > 1 or w in ("a", "i"))
             if lex.whole(whole) and not (first and lex.whole(b)):
@@ -295,7 +360,7 @@ def misread(text: str, lex: Lexicon) -> list[tuple[str, str | None]]:
                 i += 2
                 continue
         if _ODD.search(raw):
-            out.append((raw, lex.meant(re.sub(r"['’]s?$", "", w), around)))
+            out.append((raw, lex.meant(_POSSESSIVE.sub("", w), around)))
         elif any(c.isdigit() for c in w):
             if any(c.isalpha() for c in w) and not _MIXED_FINE.fullmatch(raw) or "!" in w:
                 out.append((raw, lex.meant(w, around)))
@@ -307,7 +372,7 @@ def misread(text: str, lex: Lexicon) -> list[tuple[str, str | None]]:
             for p in parts_of(raw):
                 if p and not lex.known(p) and (len(p) > 2 or bare(p) != p) and (meant := lex.meant(p, around)) is not None:
                     out.append((p, meant))
-                elif len(p) > 2 and lex.known(p) and any(lex.frequent[e] > 200 * lex.frequent[p] for e in edits(p) if e in lex.frequent):
+                elif p in lex.doubtful:
                     out.append((p, lex.meant(p, around)))
         i += 1
     return out
@@ -374,40 +439,39 @@ def skip_grams(blocks: DataFrame, words: list[str], size: int = 24, seed: int =
     return {r["word"]: (v := r["vector"].toArray().astype(np.float32)) / (np.linalg.norm(v) + 1e-9) for r in rows}
 
 
-def _chunks(df: DataFrame) -> DataFrame:
-    """Each block once (its latest scan), in its chunk, and the first blocks of a chunk in the one before, too."""
+def _marked(df: DataFrame, lex) -> DataFrame:
+    """Each block once (its latest scan) with its chunk, `length` and `numbered` of its header, `page` and its running `body`."""
     order = Window.partitionBy("source", "idx").orderBy(F.col("scanned_at").desc_nulls_last(), F.col("text").desc_nulls_last(), F.col("is_heading").desc_nulls_last())
-    once = df.where("idx is not null").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select("source", "idx", "text", "is_heading")
-    chunk = F.floor(F.col("idx") / CHUNK)
-    also = F.when((F.pmod(F.col("idx"), F.lit(CHUNK)) < AHEAD), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
-    return once.withColumn("chunk", F.explode(also))
-
-
-def _furniture(text: str, paper: str, lex: Lexicon) -> tuple[int, bool, bool]:
-    """Length of the header that a block begins with, whether it has a page number, whether the block is a page number."""
-    if page_number(text) is not None:
-        return 0, False, True
-    length, numbered = header_of(text, paper, lex.sections)
-    return length, numbered, False
-
-
-def _each(part: pd.DataFrame, lex: Lexicon):
-    """Own rows of a chunk with their furniture and the text that the next running block begins with."""
-    part = part.sort_values("idx", kind="stable")
-    source, chunk = part["source"].iloc[0], int(part["chunk"].iloc[0])
-    paper = _paper(source)
-    texts = [t if isinstance(t, str) else "" for t in part["text"]]
-    marks = [_furniture(t, paper, lex) for t in texts]
-    body = [t[m[0] :] if not m[2] else "" for t, m in zip(texts, marks)]
-    follow: list[str | None] = [None] * len(texts)
-    after: str | None = None
-    for i in range(len(texts) - 1, -1, -1):
-        follow[i] = after
-        if body[i].strip():
-            after = body[i]
-    for i, (idx, heading) in enumerate(zip(part["idx"], part["is_heading"])):
-        if idx // CHUNK == chunk:
-            yield source, int(idx), heading, texts[i], marks[i], body[i], follow[i]
+    once = df.where("idx is not null").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select("source", F.col("idx").cast("int").alias("idx"), "text", "is_heading")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for source, text in zip(batch.column("source").to_pylist(), batch.column("text").to_pylist()):
+                text = text or ""
+                length, numbered, page = (0, False, True) if page_number(text) is not None else (*header_of(text, _paper(source), lex.value.sections), False)
+                body = None if page else text[length:]
+                out.append((length, numbered, page, body if body and not body.isspace() else None))
+            kinds = (pa.int32(), pa.bool_(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([o[c] for o in out], k) for c, k in enumerate(kinds))], names=[*batch.schema.names, "length", "numbered", "page", "body"])
+
+    rows = once.mapInArrow(mark, "source string, idx int, text string, is_heading boolean, length int, numbered boolean, page boolean, body string")
+    return rows.withColumn("chunk", F.floor(F.col("idx") / CHUNK))
+
+
+def _chunks(df: DataFrame, lex) -> DataFrame:
+    """The marked blocks (`role` 0) and, in each chunk, the running block before (-1) and after it (1), wherever they stand."""
+    marked = cut(_marked(df, lex))
+    running = F.col("body").isNotNull()
+    block = F.struct("idx", "is_heading", "body")
+    ends = marked.groupBy("source", "chunk").agg(F.min_by(block, F.when(running, F.col("idx"))).alias("first"), F.max_by(block, F.when(running, F.col("idx"))).alias("last"))
+    # a row for each chunk; both windows run from the far end, so each row is added once
+    up, down = (Window.partitionBy("source").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("chunk"), F.desc("chunk")))
+    sides = ends.select("source", "chunk", F.last("last", True).over(up).alias("before"), F.last("first", True).over(down).alias("after"))
+    columns = ["source", "chunk", "role", "idx", "text", "is_heading", "length", "numbered", "page", "body"]
+    none = [F.lit(None).cast("string").alias("text"), F.lit(0).alias("length"), F.lit(False).alias("numbered"), F.lit(False).alias("page")]
+    side = lambda name, role: sides.where(F.col(name).isNotNull()).select("source", "chunk", F.lit(role).alias("role"), f"{name}.*", *none).select(*columns)
+    return marked.withColumn("role", F.lit(0)).select(*columns).unionByName(side("before", -1)).unionByName(side("after", 1))
 
 
 def damage(df: DataFrame, lex: Lexicon) -> DataFrame:
@@ -420,26 +484,31 @@ def damage(df: DataFrame, lex: Lexicon) -> DataFrame:
 
     def find(part: pd.DataFrame) -> pd.DataFrame:
         lex_, out = shared.value, []
-        for source, idx, _, text, (length, numbered, page), body, follow in _each(part, lex_):
-            kinds = []
-            if page:
-                kinds.append("page_number")
-                if not re.search(r"\d", text) and not _WORD_PAGE.fullmatch(text) or re.search(r"[IlOSQ!|Z]\d|\d[IlOSQ!|Z]|[/\s][IlSQ!]+\s*$", text):
-                    kinds.append("ocr")
-            else:
-                if length:
-                    kinds.append("header")
-                    if numbered:
-                        kinds.append("page_number")
-                cuts = cut_words(body, follow, lex_)
-                if cuts:
-                    kinds.append("hyphen")
-                if misread(_joined(body, cuts), lex_) or length and _header_misread(text[:length], _paper(source), lex_):
-                    kinds.append("ocr")
-            out += [(source, idx, k) for k in kinds]
+        part = part.sort_values(["role", "idx"], kind="stable", ascending=False)
+        source, follow = part["source"].iloc[0], None
+        for role, idx, text, length, numbered, page, body in part[["role", "idx", "text", "length", "numbered", "page", "body"]].itertuples(index=False):
+            if role == 0:
+                text, kinds = text or "", []
+                if page:
+                    kinds.append("page_number")
+                    if not re.search(r"\d", text) and not _WORD_PAGE.fullmatch(text) or re.search(r"[IlOSQ!|Z]\d|\d[IlOSQ!|Z]|[/\s][IlSQ!]+\s*$", text):
+                        kinds.append("ocr")
+                else:
+                    if length:
+                        kinds.append("header")
+                        if numbered:
+                            kinds.append("page_number")
+                    rest = text[length:]
+                    cuts = cut_words(rest, follow, lex_)
+                    if cuts:
+                        kinds.append("hyphen")
+                    if misread(_joined(rest, cuts), lex_) or length and _header_misread(text[:length], _paper(source), lex_):
+                        kinds.append("ocr")
+                out += [(source, idx, k) for k in kinds]
+            follow = body or follow
         return pd.DataFrame(out, columns=["source", "idx", "kind"])
 
-    return _chunks(df).groupBy("source", "chunk").applyInPandas(find, "source string, idx int, kind string")
+    return _chunks(df, shared).groupBy("source", "chunk").applyInPandas(find, "source string, idx int, kind string")
 
 
 def _header_misread(header: str, paper: str, lex: Lexicon) -> bool:
@@ -460,54 +529,55 @@ def repaired(df: DataFrame, lex: Lexicon) -> DataFrame:
 
     Headers and page numbers are gone, cut words whole again, misread words put right, lines
     joined; a paragraph that goes on beyond a page's end stands whole at its first block, also
-    over chunk borders of blocks (up to the blocks a chunk sees). A block counts as a heading if
-    it is marked so and does not end a sentence, or isn't marked but is short and has the
-    capitals of one.
+    over any number of chunks. A block counts as a heading if it is marked so and does not end a
+    sentence, or isn't marked but is short and has the capitals of one.
     """
     shared = df.sparkSession.sparkContext.broadcast(lex)
 
-    def goes_on(text: str) -> bool:
-        return bool(text) and text[-1] not in ".!?\"”'’:" and len(text.split()) > 6
+    def state(text: str, heading, follow: str | None, lex_: Lexicon) -> tuple[list, bool, bool, bool]:
+        """Cuts of a running block, whether its last word goes on in the next, whether it is a heading, whether the next block goes on with it."""
+        cuts = cut_words(text, follow, lex_)
+        taken = bool(_END_CUT.search(text) and cuts and cuts[-1][1] >= len(text.rstrip()))
+        whole = " ".join(_joined(text, cuts).split())
+        capital = [w for w in whole.split() if w[:1].isalpha()]
+        looks = len(whole) < 110 and bool(capital) and whole[-1:] not in ".!?\"" and sum(w[0].isupper() for w in capital) >= 0.6 * len(capital)
+        head = (heading is True or heading is np.True_) and whole[-1:] not in ".!?" or looks
+        goes = taken or not head and bool(whole) and whole[-1] not in ".!?\"”'’:" and len(whole.split()) > 6
+        return cuts, taken, head, goes
 
     def fix(part: pd.DataFrame) -> pd.DataFrame:
         lex_, out = shared.value, []
-        part = part.sort_values("idx", kind="stable")
-        source, chunk = part["source"].iloc[0], int(part["chunk"].iloc[0])
-        paper, rows = _paper(source), []
-        for idx, heading, text in zip(part["idx"], part["is_heading"], part["text"]):
-            if not isinstance(text, str):
-                continue
-            length, _, page = _furniture(text, paper, lex_)
-            if page or not text[length:].strip():
-                continue
-            rows.append((int(idx), heading is True or heading is np.True_, text[length:].strip()))
-        skip = taken_before = False
-        for n, (idx, heading, text) in enumerate(rows):
-            cut_end = _END_CUT.search(text)
-            follow = rows[n + 1][2] if n + 1 < len(rows) else None
-            cuts = cut_words(text, follow, lex_)
-            taken = bool(cut_end and cuts and cuts[-1][1] >= len(text.rstrip()))
-            whole = _joined(text, cuts)
-            if taken_before:
-                whole = re.sub(r"^\s*[^\W\d_]+", "", whole)
-            for wrong, right in misread(whole, lex_):
-                if right:
-                    shown = right.upper() if wrong.isupper() else right.capitalize() if wrong[:1].isupper() else right
-                    whole = re.sub(re.escape(wrong).replace(r"\ ", r"\s+"), lambda _: shown, whole, count=1, flags=re.I if wrong.islower() else 0)
-            whole = re.sub(r"\s+", " ", whole).strip()
-            capital = [w for w in whole.split() if w[:1].isalpha()]
-            looks = len(whole) < 110 and bool(capital) and whole[-1:] not in ".!?\"" and sum(w[0].isupper() for w in capital) >= 0.6 * len(capital)
-            head = (heading and whole[-1:] not in ".!?") or looks
-            own = idx // CHUNK == chunk
-            if skip and out and not head:
-                out[-1][2] += whole if whole[:1] in ".,;:!?'’" else " " + whole if whole else ""
-            elif own or out and skip:
-                out.append([source, idx, whole, head])
-            taken_before = taken
-            skip = taken or not head and goes_on(whole)
-            if not own and not skip:
-                break
-        kept = [o for o in out if o[1] // CHUNK == chunk and o[2]]
-        return pd.DataFrame(kept, columns=["source", "idx", "text", "is_heading"])
-
-    return _chunks(df).groupBy("source", "chunk").applyInPandas(fix, "source string, idx int, text string, is_heading boolean")
+        part = part[part["body"].notna()].sort_values(["role", "idx"], kind="stable")
+        rows = [(int(r), int(i), h, b.strip()) for r, i, h, b in part[["role", "idx", "is_heading", "body"]].itertuples(index=False)]
+        source, chunk = (part["source"].iloc[0], int(part["chunk"].iloc[0])) if rows else (None, 0)
+        open_ = taken_before = False
+        for n, (role, idx, heading, text) in enumerate(rows):
+            cuts, taken, head, goes = state(text, heading, rows[n + 1][3] if n + 1 < len(rows) else None, lex_)
+            if role == 0:
+                whole = _joined(text, cuts)
+                if taken_before:
+                    whole = re.sub(r"^\s*[^\W\d_]+", "", whole)
+                for wrong, right in misread(whole, lex_):
+                    if right:
+                        shown = right.upper() if wrong.isupper() else right.capitalize() if wrong[:1].isupper() else right
+                        whole = re.sub(re.escape(wrong).replace(r"\ ", r"\s+"), lambda _: shown, whole, count=1, flags=re.I if wrong.islower() else 0)
+                whole = re.sub(r"\s+", " ", whole).strip()
+                joins = open_ and not head
+                if joins:
+                    whole = whole if whole[:1] in ".,;:!?'’" else " " + whole if whole else ""
+                if joins and out:
+                    out[-1][3] += whole
+                else:
+                    out.append([source, chunk, idx, whole, head, joins, False])
+            open_, taken_before = goes, taken
+        if out:
+            out[-1][6] = True
+        return pd.DataFrame(out, columns=["source", "chunk", "idx", "text", "is_heading", "joins", "last"])
+
+    found = cut(_chunks(df, shared).groupBy("source", "chunk").applyInPandas(fix, "source string, chunk bigint, idx int, text string, is_heading boolean, joins boolean, last boolean"))
+    # paragraphs at the ends of chunks are put together: two rows a chunk at most
+    order = Window.partitionBy("source").orderBy("idx")
+    edges = found.where("joins or last").withColumn("paragraph", F.sum((~F.col("joins")).cast("int")).over(order))
+    held = F.array_sort(F.collect_list(F.struct("idx", "text", "is_heading")))
+    whole = edges.groupBy("source", "paragraph").agg(held.alias("held")).select("source", F.get("held", 0)["idx"].alias("idx"), F.ltrim(F.array_join(F.transform("held", lambda x: x["text"]), "")).alias("text"), F.get("held", 0)["is_heading"].alias("is_heading"))
+    return found.where("not joins and not last").select("source", "idx", "text", "is_heading").unionByName(whole).where("text <> ''")
