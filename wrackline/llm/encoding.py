@@ -4,7 +4,8 @@ Texts are parted into pre-tokens by the tokenizer's own pattern. Each distinct p
 encoded once in the whole cluster; ids are joined back to the places of the pre-tokens, and
 texts are put together in the order of places. Pre-tokens that stand in at least `part` of the
 texts (at most (pre-tokens of a text) / part of them, whatever the collection's size) go to
-every task as a table; only the others are shuffled, so no key of the join is hot.
+every task as a table; only the others are shuffled. The rows of a text's frequent words pass the
+join under keys of their own, so no key of it is hot.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import base64
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,25 +109,39 @@ def encoded(df: DataFrame, key: str, text: str, folder: str = FOLDER, name: str
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for parts in batch.column("parts").to_pylist():
-                pieces = {}
-                for p in parts:
-                    where, ids = p["places"], p["ids"]
-                    if p["rare"]:
-                        for x in where:
-                            pieces[x] = ids
-                    else:
-                        half, at = len(where) // 2, 0
-                        for x, size in zip(where[:half], where[half:]):
-                            pieces[x] = ids[at : at + size]
-                            at += size
-                out.append([t for x in sorted(pieces) for t in pieces[x]])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.int32()))], names=["id", "ids"])
+            parts = batch.column("parts")
+            fields = parts.flatten()
+            where, codes, rare = (fields.field(n) for n in ("places", "ids", "rare"))
+            text = np.repeat(np.arange(batch.num_rows), np.diff(parts.offsets.to_numpy()))
+            places, ids, rare = where.flatten().to_numpy(False), codes.flatten().to_numpy(False), rare.to_numpy(False).astype(bool)
+            n, length = (c.value_lengths().fill_null(0).to_numpy(False).astype(np.int64) for c in (where, codes))
+            first, begin = np.cumsum(n) - n, np.cumsum(length) - length
+            # a rare word's places share its ids; frequent words have places and then their sizes, with ids in that order
+            n = np.where(rare, n, n // 2)
+            row = np.repeat(np.arange(len(n)), n)
+            inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            place = places[first[row] + inside]
+            size = np.where(rare[row], length[row], places[np.minimum(first[row] + inside + n[row], max(len(places) - 1, 0))] if len(places) else 0)
+            own = np.where(rare[row], 0, size)
+            before = np.cumsum(own) - own
+            start = np.cumsum(n) - n
+            base = np.concatenate((before, [0]))[np.minimum(start, len(before))]
+            at = begin[row] + np.where(rare[row], 0, before - base[row])
+            order = np.lexsort((place, text[row]))
+            # a row that is repeated as it is gives its places again
+            where_, of = place[order], text[row][order]
+            order = order[np.concatenate((np.ones(min(len(order), 1), bool), (np.diff(where_) != 0) | (np.diff(of) != 0)))]
+            size, at = size[order], at[order]
+            take = np.arange(size.sum()) + np.repeat(at - (np.cumsum(size) - size), size)
+            total = np.bincount(text[row][order], size, batch.num_rows).astype(np.int64) if len(order) else np.zeros(batch.num_rows, np.int64)
+            ends = np.concatenate(([0], np.cumsum(total))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[take] if len(take) else np.empty(0, np.int32), pa.int32()))], names=["id", "ids"])
 
     kind = rows.schema["id"].dataType.simpleString()
     placed = rows.mapInArrow(place, f"id {kind}, word string, places array<int>, ids array<int>")
-    rare = placed.withColumnRenamed("ids", "own").join(known.where(F.col("texts") < least).select("word", "ids"), "word", "left")
+    # rows of frequent words meet nothing; each has a key of its own (no pre-token joins a control sign and a digit), so that they don't meet in one task
+    key_of = F.coalesce("word", F.concat(F.lit("\0"), F.xxhash64("id").cast("string")))
+    rare = placed.withColumnRenamed("ids", "own").withColumn("_key", key_of).join(known.where(F.col("texts") < least).select(F.col("word").alias("_key"), "ids"), "_key", "left")
     parts = rare.select("id", F.struct("places", F.coalesce("own", "ids").alias("ids"), F.col("word").isNotNull().alias("rare")).alias("part"))
     grouped = parts.groupBy("id").agg(F.collect_list("part").alias("parts"))
     return grouped.mapInArrow(together, f"id {kind}, ids array<int>").withColumnRenamed("id", key)
