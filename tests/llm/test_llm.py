@@ -280,16 +280,24 @@ def test_scans_in_spark(spark):
 def test_deleted_lines_are_those_of_the_blocks(spark, monkeypatch):
     rows = [(i, "s", f"Own words {'abcdefgh'[i]}\nHead line\nNext line\nMore of {'abcdefgh'[i]}" + ("\nLone line" if i < 3 else "")) for i in range(8)]
     df = spark.createDataFrame(rows, "id int, source string, text string")
-    hits = boilerplate.block_lines(df, "id", "source", "text").collect()
-    assert {(r.id, r.line_no) for r in hits} == {(r.id, r.line_no) for r in boilerplate.repeated_lines(df, "id", "source", "text").collect()}
-    block = {r.wording: r.block for r in hits}
+    hits = {(r.id, r.line_no): r.block for r in boilerplate.repeated_lines(df, "id", "source", "text").collect()}
+    assert set(hits) == {(i, n) for i in range(8) for n in (2, 3)} | {(i, 5) for i in range(3)}
+    block = {r.wording: r.block for r in boilerplate.blocks(df, "id", "source", "text").collect()}
     assert set(block) == {"head line", "next line", "lone line"} and block["head line"] == block["next line"] != block["lone line"]
+    assert hits[0, 2] == block["head line"] and hits[0, 5] == block["lone line"]
     # without blocks nothing is deleted
-    none = spark.createDataFrame([], "source string, wording string, records bigint, of bigint, block bigint")
-    monkeypatch.setattr(boilerplate, "blocks", lambda *a, **k: none)
+    plain = boilerplate.Graph.blocks
+    monkeypatch.setattr(boilerplate.Graph, "blocks", lambda self: plain(self).where("false"))
     assert {r.removed for r in boilerplate.without_lines(df, "id", "source", "text").collect()} == {0}
 
 
+def test_later_deliveries_of_records_hold(spark):
+    rows = [(i, "s", f"old {'abcd'[i]}\nThe foot", 1) for i in range(4)] + [(0, "s", "new text", 2), (1, "s", "old b\nThe foot", 2)]
+    df = spark.createDataFrame(rows, "id int, source string, text string, at int")
+    assert sorted((r.id, r.line_no) for r in boilerplate.repeated_lines(df, "id", "source", "text", "at").collect()) == [(1, 2), (2, 2), (3, 2)]
+    assert {r.id: r.text for r in boilerplate.without_lines(df, "id", "source", "text", "at").collect()} == {0: "new text", 1: "old b", 2: "old c", 3: "old d"}
+
+
 def test_overlong_windows_are_those_cut(spark, monkeypatch):
     rows = [("r", 0, 0.0, 30.0, 100.0, []), ("r", 1, 0.0, 30.001, 100.0, None), ("r", 2, 0.0, 30.002, 100.0, None), ("r", 3, 5.0, None, 95.0, [12.0, 40.0]), ("r", 4, 0.0, 90.0, 20.0, []), ("r", 5, None, 90.0, 90.0, []), ("r", 6, 0.0, 1800.0, 1800.0, [20.5])]
     df = spark.createDataFrame(rows, "recording_id string, index int, start_s double, end_s double, recording_s double, pauses array<double>").withColumn("created_at", F.lit(None).cast("timestamp"))

@@ -26,26 +26,34 @@ SCHEMA = "split string, rec_id bigint, piece int, start int, tokens int, bin int
 
 
 def best_fit(sizes: list[int], clusters: list[int], sources: list[int], length: int, one_source: bool = False) -> list[int]:
-    """The bin of each item. clusters and sources: bitmaps of the items (0: no conflict)."""
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    """The bin of each item. clusters and sources: bitmaps of the items (0: no conflict).
+
+    Items of one size and cluster follow each other, and each begins its search where the one
+    before it found its bin: all tighter ones hold the cluster, so copies cost no more than others.
+    """
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], clusters[i], sources[i], i))
+    last: tuple[int, int, int] | None = None
+    where = (0, -1)
     room: list[tuple[int, int]] = []
     held: list[int] = []
     origin: list[int] = []
     out = [0] * len(sizes)
     for i in order:
         size, mine, source = sizes[i], clusters[i], sources[i] if one_source else 0
-        at = bisect_left(room, (size, -1))
+        same = (size, mine, source)
+        at = bisect_left(room, where if mine and same == last else (size, -1))
         while at < len(room) and (held[room[at][1]] & mine or origin[room[at][1]] & source):
             at += 1
         if at < len(room):
-            left, b = room.pop(at)
+            left, b = where = room.pop(at)
         else:
             left, b = length, len(held)
+            where = (length + 1, b)  # none of those at hand can take another of this kind
             held.append(0)
             origin.append(0)
         held[b] |= mine
         origin[b] |= source
-        out[i] = b
+        out[i], last = b, same
         if left > size:
             insort(room, (left - size, b))
     return out
