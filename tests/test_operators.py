@@ -60,6 +60,12 @@ def test_reasons(spark):
     assert R.validated(lines).first()["content"] == "x"
     with pytest.raises(Exception, match="not JSON"):
         R.validated(spark.createDataFrame([("s", 1, "nope")], "shard string, line_no bigint, raw string")).collect()
+    bad = spark.createDataFrame([("s", 7, next(k for k, v in cases.items() if v == "role is not assistant"))], "shard string, line_no bigint, raw string")
+    # whatever is read of them, bad lines fail the job
+    for use in (lambda d: d.select("digest", "tokens", "content").collect(), lambda d: d.count(), lambda d: d.select("shard").collect()):
+        with pytest.raises(Exception, match="s:7: role is not assistant"):
+            use(R.validated(bad))
+    assert R.validated(bad, quarantine=True).first()["reason"] == "role is not assistant"
 
 
 def test_window_and_split(spark):
@@ -96,9 +102,9 @@ def test_membership(spark):
 
 
 def test_windows(spark):
-    df = spark.createDataFrame([("a", 129.85), ("b", 0.0), ("c", 12.0), ("d", 55.0)], "recording_id string, duration_s double")
+    df = spark.createDataFrame([("a", 104.2), ("b", 0.0), ("c", 12.0), ("d", 55.0)], "recording_id string, duration_s double")
     got = S.sliding(df).groupBy("recording_id").agg(F.count(F.lit(1)).alias("n"), F.max("end_s")).collect()
-    assert {r[0]: (r[1], r[2]) for r in got} == {"a": (5, 129.85), "c": (1, 12.0), "d": (2, 55.0)}
+    assert {r[0]: (r[1], r[2]) for r in got} == {"a": (4, 104.2), "c": (1, 12.0), "d": (2, 55.0)}
 
 
 def test_stitching(spark):
@@ -106,7 +112,9 @@ def test_stitching(spark):
     assert S.continuation("a b c".split(), "x y z".split()) == ["x", "y", "z"]
     assert not S.acceptable("x", "one two three four five", [])
     df = spark.createDataFrame([("r", 1, "in at noon with rum", 3, 5), ("r", 0, "the ship came in at noon", None, 7)], "recording_id string, index int, transcript string, generation_tokens int, latency_ms bigint")
-    assert rows(S.stitched(df)) == [("r", "the ship came in at noon with rum", 0, 3, 12)]
+    assert rows(S.stitched(df).drop("steps")) == [("r", "the ship came in at noon with rum", 0, 3, 12)]
+    offered = S.stitched(df, lambda context, chunk: "noon with rum").first()
+    assert offered.accepted == 1 and [tuple(x) for x in offered.steps] == [(1, "noon with rum", "with rum", True)]
 
 
 def test_folds_and_plans(spark):
@@ -127,11 +135,11 @@ def test_literal_transcripts_have_all_windows(spark, tmp_path):
     from wrackline.plans import catalogue
 
     draw = random.Random(5)
-    ends = [0.05, 0.25, 0.75, 2.25, 129.85, 129.95, 30.0, 55.5, 1.005, 1234.45, 99.95, 0.04, *(round(draw.uniform(0, 4000), 3) for _ in range(150)), *(draw.randrange(40000) / 20 for _ in range(150))]
+    ends = [0.05, 0.25, 0.75, 2.25, 119.85, 129.95, 30.0, 55.5, 1.005, 1234.45, 99.95, 0.04, *(round(draw.uniform(0, 4000), 3) for _ in range(150)), *(draw.randrange(40000) / 20 for _ in range(150))]
     made = [(f"r{i % 7}", i, draw.choice([i * 25.0, i + 0.25, i / 20]), e, f"text {i}") for i, e in enumerate(ends)]
     odd = [("r0", 900, None, 1.0, "x"), ("r0", 901, 1.0, None, "x"), ("r0", 902, 1.0, 2.0, None), ("none", 0, None, None, None)]
     df = spark.createDataFrame(made + odd + made[:3], "recording_id string, index int, start_s double, end_s double, transcript string")
-    df.withColumns({"generation_tokens": F.lit(1.0), "latency_ms": F.lit(1)}).write.parquet(str(tmp_path / "audio_windows.parquet"))
+    df.withColumns({"generation_tokens": F.lit(1.0), "latency_ms": F.lit(1), "created_at": F.lit(None).cast("timestamp")}).write.parquet(str(tmp_path / "audio_windows.parquet"))
     want = {r: "\n\n".join(f"[{s:.1f}s-{e:.1f}s] {t}" for k, _, s, e, t in made if k == r) for r in {m[0] for m in made}}
     assert dict(rows(catalogue.literal_transcripts(spark, str(tmp_path)))) == want
 
@@ -161,3 +169,118 @@ def test_continuation_is_the_plain_loop():
             before, tail, after = ([draw.choice(words) for _ in range(k)] for k, words in ((30, "aio"), (size, [w[:3] for w in stock] if size < 48 else stock), (30, "uey")))
             tail[size // 2 : size // 2] = year
             assert S.continuation(before + tail, tail + after) == plain(before + tail, tail + after), (size, year)
+
+
+def test_sequences_in_parts(spark, monkeypatch):
+    draw = random.Random(2)
+    made = [(k, i, draw.choice([None, None, f"v{i}"]), draw.random() < 0.3) for k in ("a", "b", None) for i in sorted(draw.sample(range(300), 120))]
+    df = spark.createDataFrame(made, "k string, i int, v string, h boolean")
+    monkeypatch.setattr(S, "PART", 16)
+    near = {(r.k, r.i): r for r in S.following(S.preceding(df, "k", "i", "h", "before"), "k", "i", F.col("v"), "after").collect()}
+    total = {(r.k, r.i): r.n for r in S.running(df, ["k"], F.floor(F.col("i") / 16), ["i"], F.col("h").cast("int"), "n").collect()}
+    for k in ("a", "b", None):
+        mine = [m for m in made if m[0] == k]
+        for n, (_, i, _, h) in enumerate(mine):
+            assert near[k, i].after == next((v for _, _, v, _ in mine[n + 1 :] if v), None)
+            assert near[k, i].before == (mine[n - 1][3] if n else None)
+            assert total[k, i] == sum(x[3] for x in mine[: n + 1])
+
+
+def test_following_is_linear(spark):
+    # one sequence of 60,000 rows: a frame that is added up anew for each row would take minutes
+    import time
+
+    df = spark.range(60_000).select(F.lit("s").alias("k"), F.col("id").alias("i"), F.when(F.col("id") % 9_000 == 8_999, F.col("id")).alias("v"))
+    began = time.time()
+    want = sum(next((v for v in range(8_999, 60_000, 9_000) if v > i), 0) for i in range(60_000))
+    assert S.following(df, "k", "i", F.col("v"), "after").agg(F.sum("after")).first()[0] == want
+    assert time.time() - began < 60
+
+
+def test_chunk_windows(spark):
+    df = spark.createDataFrame([("k", i, s) for i, s in enumerate([4, 4, 3, 20, 1])] + [("z", 0, 0)], "k string, i int, s int")
+    assert sorted(rows(S.chunk_windows(df, "k", "i", "s", 10))) == [("k", 0, 11), ("k", 1, 20), ("k", 2, 1)]
+
+
+def test_near_pairs_against_all(spark):
+    draw = random.Random(9)
+    hashes = [draw.getrandbits(64) for _ in range(60)]
+    for h in hashes[:40]:
+        for bits in (1, 3, 4):
+            x = h
+            for b in draw.sample(range(64), bits):
+                x ^= 1 << b
+            hashes.append(x)
+    made = [(i, h - (1 << 64) if h >> 63 else h) for i, h in enumerate(hashes)] + [(999, None)]
+    got = {tuple(r) for r in D.near_pairs(spark.createDataFrame(made, "id int, hash bigint")).collect()}
+    assert got == {(i, j) for i in range(len(hashes)) for j in range(i + 1, len(hashes)) if bin(hashes[i] ^ hashes[j]).count("1") <= 3}
+
+
+def test_build_and_outcomes(spark):
+    from wrackline.operators import extraction as E
+
+    prose = "The council met on Monday in Bridgetown and agreed that the new plan would go ahead at once without further debate"
+    text = "\n\n".join(["## Big news", prose + " one.", "## More news", prose + " one.", "## Last news", "Too short to be of any use to anybody at all here."])
+    records, counters = E.build(spark.createDataFrame([("e", text), ("f", text)], "source string, text string"), 5, 60, 12)
+    assert counters.first().asDict() == {"scanned_files": 2, "extracted_records": 6, "below_minimum_records": 0, "off_domain_records": 0, "exact_duplicates": 3, "near_duplicates": 0, "output_records": 3}
+    assert [(r.source, r.ordinal) for r in records.collect()] == [("e", 0), ("e", 1), ("e", 2)]
+
+    def convert(path, content):
+        if b"bad" in content:
+            raise ValueError("unreadable")
+        return content.decode()
+
+    files = spark.createDataFrame([("a.pdf", b"some text"), ("b.pdf", b"bad"), ("c.pdf", b"  ")], "path string, content binary")
+    assert {r.path: r.error for r in E.converted(files, convert).collect()} == {"a.pdf": None, "b.pdf": "ValueError: unreadable", "c.pdf": "ValueError: no text in it"}
+    with pytest.raises(Exception, match="unreadable"):
+        E.converted(files, convert, fail_fast=True).collect()
+
+
+def test_probes(spark):
+    import json
+
+    from wrackline.operators import probes as O
+
+    good = {"id": "a", "fact_id": "f", "variant": "canonical", "track": "local", "category": "c", "prompt": "Where? ", "choices": ["w", "x", "y", "z"], "answer_index": 1, "source_digests": ["0" * 64], "stability": "s", "exposure": "e"}
+    pair = [good, good | {"id": "b", "variant": "paraphrase"}]
+    lines = lambda *objects: spark.createDataFrame([("p", i + 1, x if isinstance(x, str) else json.dumps(x)) for i, x in enumerate(objects)], "shard string, line_no bigint, raw string")
+    held = O.loaded(lines(*pair, "  ")).orderBy("id").collect()
+    assert [(r.id, r.source_group, r.membership, r.sources) for r in held] == [("a", "a", "unverified", []), ("b", "b", "unverified", [])]
+    cases = {
+        "not JSON": "{", "not an object": "[1]", "missing: choices": {k: v for k, v in good.items() if k != "choices"}, "needs four choices": good | {"choices": ["a"]}, "choices must be texts": good | {"choices": ["a", "b", "c", " "]}, "answer_index out of range": good | {"answer_index": 4}, "id must be a text": good | {"id": ""},
+        "unknown track": good | {"track": "x"}, "sources must be texts": good | {"sources": [1]}, "fact_id must be a text": good | {"fact_id": 5}, "unknown variant": good | {"variant": "x"}, "source_digests must be SHA-256": good | {"source_digests": ["A" * 64]}, "needs source digests": good | {"source_digests": []},
+    }
+    for why, bad in cases.items():
+        assert why in [r.problem for r in O.checked(O.parsed(lines(bad))).collect()], why
+        with pytest.raises(Exception, match="p:1: "):
+            O.loaded(lines(bad)).count()
+    assert {r.problem for r in O.checked(O.parsed(lines(good, good))).collect()} >= {"id stands twice"}
+    with pytest.raises(ValueError):
+        O.loaded(lines("  "))
+    ids = spark.createDataFrame([([1, 2, 3], [1, 2, 9, 4], [0.0, -1.0, -2.0, -4.0]), ([1, 2], [1, 2, 3], [0.0, -1.0, -3.0])], "a array<int>, b array<int>, p array<double>")
+    start = O.completion_start(F.col("a"), F.col("b"))
+    assert rows(ids.select(start, O.mean_log_probability(F.col("p"), start))) == [(2, -3.0), (2, -3.0)]
+    with pytest.raises(Exception, match="no completion tokens"):
+        ids.select(O.mean_log_probability(F.col("p"), F.lit(0))).collect()
+
+
+def test_gates(spark):
+    from wrackline.functions import gates as G
+
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("x")).first()["x"]
+    assert [value(G.convolved_length(F.lit(n))) for n in (0, 1, 8, 9, 99, 100, 250)] == [0, 1, 1, 2, 13, 13, 33]
+    with pytest.raises(Exception, match="limit is 30"):
+        one.select(G.checked_duration(F.lit(31.0), 30)).collect()
+    with pytest.raises(Exception, match="did not improve"):
+        one.select(G.checked_improvement(F.lit(3.0), F.lit(3.2), 0.1)).collect()
+    assert value(G.text_config(F.lit('{"rope_parameters": {"rope_theta": 7}, "num_local_experts": 8}'))).asDict() == {"rope_theta": "7", "rope_scaling": '{"type":"default"}', "num_experts": "8"}
+    assert value(G.text_config(F.lit('{"rope_theta": 1, "rope_parameters": {"rope_theta": 7}, "num_experts": 2}')))["rope_theta"] == "1"
+    paths = spark.createDataFrame([("optimizer.pt",), ("runs/a/b",), ("rng_state_0",), ("model.bin",), ("x.pth",)], "p string")
+    assert [r.p for r in paths.where(G.ignored(F.col("p"), ("optimizer.pt", "runs/", "rng_state*", "*.pth"))).collect()] == ["optimizer.pt", "runs/a/b", "rng_state_0", "x.pth"]
+
+
+def test_weight_map(spark):
+    kind = lambda n: S.weight_kind(n, ("thinker.",), ("talker.",), (), False)
+    df = spark.createDataFrame([({"thinker.a": "1", "talker.b": "2", "c": "1"},)], "m map<string, string>")
+    assert df.select(S.weight_map(F.col("m"), kind).alias("m")).first()["m"] == {"thinker.a": "1", "c": "1"}

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import html
+import io
 import re
 import unicodedata
+import wave
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StringType
 
 from wrackline.functions import patterns as P
 
@@ -73,7 +75,7 @@ def _unescaped(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else html.unescape(t) if "&" in t else t)
 
 
-def normalised(text: Column, prefixes: tuple[tuple[str, str], ...] = ()) -> Column:
+def normalised(text: Column, prefixes: tuple[tuple[str, str], ...] = P.PREFIXES) -> Column:
     """Entities, signs, accents and white space made plain; continuation marks and promotions dropped.
 
     `prefixes` (read, printed) put right a misread beginning; the first that fits is used.
@@ -82,14 +84,29 @@ def normalised(text: Column, prefixes: tuple[tuple[str, str], ...] = ()) -> Colu
     for sign, plain in P.SIGNS:
         text = F.replace(text, F.lit(sign), F.lit(plain))
     text = F.trim(F.regexp_replace(_ascii(text), r"\s+", " "))
-    text = F.regexp_replace(text, r"(?i)\s*\(Cont'd\s+(?:from|on)\s+(?:next\s+)?Page\s+\d+\.?\)", "")
-    text = F.regexp_replace(text, r"(?i)\s+SUBSCRIBE NOW\b.*$", "")
+    text = F.regexp_replace(F.regexp_replace(text, P.CONTINUED, ""), P.PROMOTION, "")
     fixed = text
     for read, printed in reversed(prefixes):
         fixed = F.when(text.startswith(read), F.concat(F.lit(printed), F.substring(text, len(read) + 1, 2**30))).otherwise(fixed)
     return fixed
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def simhash_md5(text: Column, shingle: int = 5) -> Column:
+    """As `simhash` with the low 64 bits of MD5 for each shingle: all on the JVM, and stated in SQL as well."""
+    tokens = words(F.lower(text))
+    parts = let(tokens, lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (shingle - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, shingle), " "))))
+    number = lambda p: F.conv(F.substring(F.md5(p), 17, 16), 16, -10).cast("bigint")
+    hashes = F.transform(parts, number)
+    bit = lambda h, b: F.call_function("shiftright", h, b).bitwiseAND(1)
+    vote = lambda hs: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(F.size(F.filter(hs, lambda h: bit(h, b) == 1)) * 2 >= F.size(hs), F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
+    return let(hashes, lambda hs: F.aggregate(vote(hs), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x)))
+
+
 def _votes(text: str | None, shingle: int) -> int | None:
     if text is None:
         return None
@@ -121,6 +138,11 @@ def step_of(name: Column) -> Column:
     return F.when(name.rlike(r"^checkpoint-\d{1,18}$"), F.substring_index(name, "-", -1).cast("bigint"))
 
 
+def step_done(text: Column) -> Column:
+    """n of a progress mark "n/m"."""
+    return F.split_part(text, F.lit("/"), F.lit(1)).cast("int")
+
+
 def watts(raw: Column) -> Column:
     """A power reading; blank and N/A count as none. Text without a number is an error."""
     plain = F.trim(raw)
@@ -133,8 +155,11 @@ def mono(samples: Column) -> Column:
     return F.transform(samples, lambda frame: F.aggregate(frame, F.lit(0.0), lambda a, b: a + b) / F.size(frame))
 
 
-def resampled(samples: Column, rate: Column, to: int) -> Column:
-    """Linear interpolation onto max(round(seconds * to), 1) points from the first sample to the last."""
+def resampled(samples: Column, rate: Column, to: int, most_s: float | None = None) -> Column:
+    """Linear interpolation onto max(round(seconds * to), 1) points from the first sample to the last.
+
+    With `most_s`, what comes after as many seconds is left out.
+    """
 
     @pandas_udf(ArrayType(DoubleType()))
     def run(values: pd.Series, rates: pd.Series) -> pd.Series:
@@ -147,4 +172,25 @@ def resampled(samples: Column, rate: Column, to: int) -> Column:
             out.append(np.interp(at, np.arange(len(v)), v))
         return pd.Series(out)
 
-    return run(samples, rate)
+    out = run(samples, rate)
+    return out if most_s is None else F.slice(out, 1, int(to * most_s))
+
+
+def wav(samples: Column, rate: int) -> Column:
+    """The bytes of a one-channel 16-bit WAV file of samples in [-1, 1]; null stays null."""
+
+    @pandas_udf(BinaryType())
+    def run(values: pd.Series) -> pd.Series:
+        out = []
+        for v in values:
+            if v is None:
+                out.append(None)
+                continue
+            held = io.BytesIO()
+            with wave.open(held, "wb") as f:
+                f.setnchannels(1), f.setsampwidth(2), f.setframerate(rate)
+                f.writeframes(np.rint(np.clip(np.asarray(v, np.float64), -1, 1 - 1 / 32768) * 32768).astype("<i2").tobytes())
+            out.append(held.getvalue())
+        return pd.Series(out)
+
+    return run(samples)

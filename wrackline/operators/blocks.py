@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wrackline.functions import patterns as P
 from wrackline.functions import predicates as K
 from wrackline.functions.text import normalised, stripped
+from wrackline.operators.sequences import PART, following, preceding, running
 
 _WORD = re.compile(P.WORD)
 
@@ -26,9 +27,7 @@ def candidates(editions: DataFrame, separator: str = r"\n\s*\n", plain: bool = T
 def blocks(cands: DataFrame, least: int = 8) -> DataFrame:
     """`source, idx, text, is_heading`: headings and prose; furniture, captions and the rest are gone."""
     marked = cands.withColumn("drop", K.is_noise(F.col("text")) | K.is_caption(F.col("text")))
-    ahead = Window.partitionBy("source").orderBy("idx").rowsBetween(1, Window.unboundedFollowing)
-    # text that follows, beyond furniture: the group is one edition
-    marked = marked.withColumn("following", F.first(F.when(~F.col("drop"), F.col("text")), ignorenulls=True).over(ahead))
+    marked = following(marked, "source", "idx", F.when(~F.col("drop"), F.col("text")), "following")
     text = F.col("text")
     heading = F.col("explicit") | K.is_plain_heading(text, F.col("following"))
     kind = F.when(F.col("drop"), None).when(heading, F.when(K.is_useful_heading(text), "heading")).when(~K.is_byline(text) & K.is_prose(text, least), "prose")
@@ -37,9 +36,9 @@ def blocks(cands: DataFrame, least: int = 8) -> DataFrame:
 
 def articles(found: DataFrame) -> DataFrame:
     """Blocks with `article`: a heading after prose begins a new one; articles without prose are dropped."""
-    order = Window.partitionBy("source").orderBy("idx")
-    begins = F.col("is_heading") & ~F.coalesce(F.lag("is_heading").over(order), F.lit(True))
-    numbered = found.withColumn("begins", begins.cast("int")).withColumn("article", F.sum("begins").over(order).cast("int")).drop("begins")
+    rows = preceding(found, "source", "idx", "is_heading", "_before")
+    begins = (F.col("is_heading") & ~F.coalesce("_before", F.lit(True))).cast("int")
+    numbered = running(rows, ["source"], F.floor(F.col("idx") / PART), ["idx"], begins, "_article").withColumn("article", F.col("_article").cast("int")).drop("_before", "_article")
     prose = F.max((~F.col("is_heading")).cast("int")).over(Window.partitionBy("source", "article"))
     return numbered.withColumn("_prose", prose).where("_prose = 1").drop("_prose")
 
@@ -92,5 +91,5 @@ def chunks(found: DataFrame, least: int = 250, most: int = 1000) -> DataFrame:
 
     packed = articles(found).groupBy("source", "article").applyInPandas(pack, "source string, article int, part int, content string")
     packed = packed.where(~K.is_legal_notice(F.col("content")))
-    ordinal = F.row_number().over(Window.partitionBy("source").orderBy("article", "part")) - 1
-    return packed.select("source", ordinal.alias("ordinal"), "content")
+    numbered = running(packed, ["source"], F.floor(F.col("article") / 256), ["article", "part"], F.lit(1), "nth")
+    return numbered.select("source", (F.col("nth") - 1).cast("int").alias("ordinal"), "content")

@@ -69,13 +69,57 @@ def with_all(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
     return F.broadcast(listed).join(rows, key, "left").fillna(0, [c for c in rows.columns if c != key])
 
 
+def track_summary(pairs: DataFrame, tracks: tuple[str, ...]) -> DataFrame:
+    """`track, n, <measures>, low, high`: each track of the list (without rows: zeros) in its order, then `overall`, with the interval of the mean delta."""
+    rows = pairs.withColumn("_track", F.explode(F.array(F.col("track"), F.lit("overall"))))
+    found = rows.groupBy(F.col("_track").alias("track")).agg(*measures(), bootstrap(F.col("delta"), F.col("probe_id")).alias("i")).select("*", "i.low", "i.high").drop("i")
+    names = [*tracks, "overall"]
+    every = with_all(found, "track", names)
+    return every.orderBy(F.array_position(F.array(*[F.lit(n) for n in names]), F.col("track")))
+
+
+def track_accuracy(results: DataFrame, tracks: tuple[str, ...]) -> DataFrame:
+    """`track, n, right, accuracy`: each track of the list and `overall`; without rows the accuracy is null."""
+    rows = results.withColumn("_track", F.explode(F.array(F.col("track"), F.lit("overall"))))
+    found = rows.groupBy(F.col("_track").alias("track")).agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("right"))
+    return with_all(found, "track", [*tracks, "overall"]).withColumn("accuracy", F.when(F.col("n") > 0, F.col("right") / F.col("n")))
+
+
+def category_counts(results: DataFrame) -> DataFrame:
+    """`name, n`: rows of each track and category, named track::category."""
+    return results.groupBy(F.concat_ws("::", "track", "category").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def family_groups(found: DataFrame) -> DataFrame:
+    """`family_group, facts, base_passes, adapter_passes, acquired, regressed` of families: those to be acquired, and controls."""
+    group = F.when(F.col("track") == "control", "control").otherwise("acquisition")
+    counts = found.groupBy(group.alias("family_group")).agg(F.count(F.lit(1)).alias("facts"), F.count_if("base_all").alias("base_passes"), F.count_if("adapter_all").alias("adapter_passes"), F.count_if(F.col("change") == "acquired").alias("acquired"), F.count_if(F.col("change") == "regressed").alias("regressed"))
+    return with_all(counts, "family_group", ["acquisition", "control"])
+
+
+def robust_changes(found: DataFrame) -> DataFrame:
+    """One row `acquired, regressed`: families (without controls) that passed in one run only."""
+    return found.where("track <> 'control'").agg(F.count_if(F.col("change") == "acquired").alias("acquired"), F.count_if(F.col("change") == "regressed").alias("regressed"))
+
+
+def mean_perplexity(losses: DataFrame, loss: str, *by: str) -> DataFrame:
+    """`<by>, records, perplexity`: the exponential of the mean of records' losses, each record counting once whatever its length."""
+    return losses.groupBy(*by).agg(F.count(loss).alias("records"), F.exp(F.avg(loss)).alias("perplexity"))
+
+
+def best_step(log: DataFrame, step: str, loss: str, order: str, *by: str) -> DataFrame:
+    """`<by>, best_step, best, last`: the first step with the least loss, that loss, and the last one."""
+    return log.where(F.col(loss).isNotNull()).groupBy(*by).agg(F.min_by(step, F.struct(loss, order)).alias("best_step"), F.min(loss).alias("best"), F.max_by(loss, order).alias("last"))
+
+
 def families(pairs: DataFrame) -> DataFrame:
     """`family, track, base_all, adapter_all, base_least, adapter_least, change`, by fact (or probe without one)."""
     key = F.coalesce(F.nullif(F.col("fact_id"), F.lit("")), F.col("probe_id").cast("string"))
     rows = pairs.groupBy(key.alias("family")).agg(F.min("track").alias("track"), F.count_distinct("track").alias("_tracks"), F.bool_and("base_correct").alias("base_all"), F.bool_and("adapter_correct").alias("adapter_all"), F.min("base_margin").alias("base_least"), F.min("adapter_margin").alias("adapter_least"))
-    track = F.when(F.col("_tracks") > 1, F.raise_error(F.concat(F.lit("tracks differ in "), "family")).cast("string")).otherwise(F.col("track"))
+    # a filter, so that no choice of columns loses the check
+    rows = rows.where(F.when(F.col("_tracks") > 1, F.raise_error(F.concat(F.lit("tracks differ in "), "family")).cast("boolean")).otherwise(F.lit(True)))
     change = F.when(~F.col("base_all") & F.col("adapter_all"), "acquired").when(F.col("base_all") & ~F.col("adapter_all"), "regressed").otherwise("same")
-    return rows.select("family", track.alias("track"), "base_all", "adapter_all", "base_least", "adapter_least", change.alias("change"))
+    return rows.select("family", "track", "base_all", "adapter_all", "base_least", "adapter_least", change.alias("change"))
 
 
 def contrasts(pairs: DataFrame) -> DataFrame:

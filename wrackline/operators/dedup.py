@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import combinations
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wrackline.functions.text import canonical, simhash
@@ -27,12 +29,26 @@ def first_of_digest(records: DataFrame, digest: str, *order: str) -> DataFrame:
     return best.select(digest, "best.*").select(*records.columns)
 
 
-def band_pairs(hashed: DataFrame, distance: int = 3) -> DataFrame:
-    """`a, b`: ids of `id, hash` that share one of four 16-bit bands and differ in at most `distance` bits."""
-    bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash", 16 * i).bitwiseAND(0xFFFF).alias("value")) for i in range(4)]))
-    rows = hashed.where("hash is not null").select("id", "hash", bands.alias("b")).select("id", "hash", "b.band", "b.value")
-    left, right = rows.toDF("a", "ha", "band", "value"), rows.toDF("b", "hb", "band", "value")
-    near = left.join(right, ["band", "value"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= distance))
+def near_pairs(hashed: DataFrame, distance: int = 3) -> DataFrame:
+    """`a, b`: ids of `id, hash` (64 bits) that differ in at most `distance` bits, with a < b.
+
+    The bits stand in distance + 3 parts, of which at least three agree in such a pair, so rows
+    meet under each choice of three parts: at distance 3 these are 20 keys of some 32 bits, and
+    what a key holds by chance grows with records / 2**32, not / 2**16 as with four bands. A pair
+    within 3 bits shares one of four 16-bit bands, too, so that rule is met as well.
+    """
+    parts = distance + 3
+    edges = [64 * i // parts for i in range(parts + 1)]
+
+    def mask(choice: tuple[int, ...]) -> int:
+        """The bits of the parts, as a signed number."""
+        bits = sum((1 << edges[i + 1]) - (1 << edges[i]) for i in choice)
+        return bits - (1 << 64) if bits >> 63 else bits
+
+    keys = F.array(*[F.struct(F.lit(n).alias("choice"), F.col("hash").bitwiseAND(F.lit(mask(c)).cast("bigint")).alias("value")) for n, c in enumerate(combinations(range(parts), 3))])
+    rows = hashed.where("hash is not null").select("id", "hash", F.explode(keys).alias("k")).select("id", "hash", "k.choice", "k.value")
+    left, right = rows.toDF("a", "ha", "choice", "value"), rows.toDF("b", "hb", "choice", "value")
+    near = left.join(right, ["choice", "value"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= distance))
     return near.select("a", "b").distinct()
 
 
@@ -57,9 +73,14 @@ def first_of_near(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
     return r.select("id") if dropped is None else r.select("id").join(dropped, "id", "left_anti")
 
 
-def deduplicated(records: DataFrame, distance: int = 3) -> DataFrame:
-    """Records (`source, ordinal, content`) without exact copies and near copies, longest first."""
-    exact = cut(longest_of_copies(records).withColumn("id", F.xxhash64("source", "ordinal")).withColumn("hash", simhash(F.col("content"))))
-    rank = F.struct((-F.length("content")).alias("l"), "source", "ordinal", "id")
-    kept = first_of_near(exact.select("id", rank.alias("rank")), band_pairs(exact.select("id", "hash"), distance))
+def deduplicated(records: DataFrame, distance: int = 3, hashing=simhash) -> DataFrame:
+    """Records (`source, ordinal, content`) without exact copies and near copies, longest first; see `in_order`."""
+    exact = cut(longest_of_copies(records).withColumn("id", F.struct("source", "ordinal")).withColumn("hash", hashing(F.col("content"))))
+    rank = F.struct((-F.length("content")).alias("l"), "source", "ordinal")
+    kept = first_of_near(exact.select("id", rank.alias("rank")), near_pairs(exact.select("id", "hash"), distance))
     return exact.join(kept, "id", "left_semi").select("source", "ordinal", "content")
+
+
+def in_order(records: DataFrame) -> DataFrame:
+    """The final order: by source and ordinal."""
+    return records.orderBy("source", "ordinal")

@@ -28,17 +28,26 @@ def reason(raw: Column) -> Column:
 
 
 def validated(lines: DataFrame, tokens=F.length, quarantine: bool = False) -> DataFrame:
-    """`shard, line_no, content, tokens, digest` of `shard, line_no, raw`; a bad line fails the job.
+    """`shard, line_no, content, tokens, digest, reason` of `shard, line_no, raw`; a bad line fails the job.
 
-    With `quarantine`, bad lines come out instead, with their `reason` (null for good ones).
+    The check is a filter on the raw line, so it is made whatever columns are used afterwards, a
+    bare count included. With `quarantine`, bad lines come out instead, with their `reason` (null
+    for good ones).
     """
-    why = reason(F.col("raw"))
-    marked = lines.where(stripped(F.col("raw")) != "").withColumn("reason", why if quarantine else F.when(why.isNotNull(), F.raise_error(F.concat_ws(": ", "shard", F.col("line_no").cast("string"), why)).cast("string")))
+    marked = lines.where(stripped(F.col("raw")) != "").withColumn("reason", reason(F.col("raw")))
+    if not quarantine:
+        where = F.concat_ws(": ", F.concat_ws(":", "shard", F.col("line_no").cast("string")), "reason")
+        marked = marked.where(F.when(F.col("reason").isNotNull(), F.raise_error(where).cast("boolean")).otherwise(F.lit(True)))
     texts = F.transform(F.try_variant_get(F.try_parse_json("raw"), "$.messages", "array<variant>"), lambda m: F.try_variant_get(m, "$.content", "string"))
     content = stripped(F.array_join(texts, " "))
     return marked.select("shard", "line_no", content.alias("content"), tokens(content).alias("tokens"), sha256(content).alias("digest"), "reason")
 
 
+def in_token_order(records: DataFrame) -> DataFrame:
+    """By tokens, ties by shard and line: a total order."""
+    return records.orderBy("tokens", "shard", "line_no")
+
+
 def windowed(records: DataFrame, least: int = 128, most: int = 4096) -> DataFrame:
     """First record of each digest with `status`: below, above or kept (bounds inclusive)."""
     first = first_of_digest(records.select("digest", "shard", "line_no", "tokens", "content"), "digest", "shard", "line_no")
@@ -63,10 +72,10 @@ def with_split(kept: DataFrame, fraction: float = 0.01) -> DataFrame:
     return others.unionByName(inside).drop("_first")
 
 
-def summary(records: DataFrame, seen: DataFrame, split: DataFrame) -> DataFrame:
-    """One row of counts along the way, as a preparation reports them."""
-    total = records.agg(F.count(F.lit(1)).alias("total_records"))
+def summary(records: DataFrame, seen: DataFrame, split: DataFrame, valid: Column | None = None) -> DataFrame:
+    """One row of counts along the way, as a preparation reports them; `valid` marks the records that are (all, if not given)."""
+    total = records.agg(F.count(F.lit(1)).alias("total_records"), F.count_if(valid if valid is not None else F.lit(True)).alias("valid_records"))
     by = seen.agg(F.count(F.lit(1)).alias("distinct"), F.count_if(F.col("status") == "below").alias("below_min_tokens"), F.count_if(F.col("status") == "above").alias("above_max_tokens"))
     sides = split.agg(*[f(F.col("split") == s, s) for s in ("train", "eval") for f in (lambda c, s: F.count_if(c).alias(f"{s}_records"), lambda c, s: F.coalesce(F.sum(F.when(c, F.col("tokens"))), F.lit(0)).cast("bigint").alias(f"{s}_tokens"))])
     one = total.crossJoin(F.broadcast(by)).crossJoin(F.broadcast(sides))  # one row each
-    return one.select("total_records", (F.col("total_records") - F.col("distinct")).alias("deduplicated"), "below_min_tokens", "above_max_tokens", "train_records", "eval_records", "train_tokens", "eval_tokens")
+    return one.select("total_records", "valid_records", (F.col("valid_records") - F.col("distinct")).alias("deduplicated"), "below_min_tokens", "above_max_tokens", "train_records", "eval_records", "train_tokens", "eval_tokens")

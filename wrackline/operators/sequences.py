@@ -13,6 +13,61 @@ from pyspark.sql import functions as F
 from wrackline.functions.text import clean_audio
 
 
+#: Rows of a sequence that one task looks at in order; no result depends on it.
+PART = 4096
+
+
+def _parted(df: DataFrame, order: str) -> DataFrame:
+    return df.withColumn("_part", F.floor(F.col(order) / PART))
+
+
+def _joined(df: DataFrame, per_part: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns that its part of the sequence has; null keys meet each other."""
+    other = per_part.toDF(*[f"_k{i}" for i in range(len(keys))], "_kp", *per_part.columns[len(keys) + 1 :])
+    on = F.col("_part") == F.col("_kp")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(other, on).drop("_kp", *[f"_k{i}" for i in range(len(keys))])
+
+
+def following(df: DataFrame, key: str, order: str, value: Column, name: str) -> DataFrame:
+    """Adds the next non-null value after each row of a sequence, `order` being a whole number.
+
+    Linear, and in parts: a sequence with a third of all rows is many tasks. A row for each part
+    carries the value over parts without any.
+    """
+    rows = _parted(df, order).withColumn("_value", value)
+    ends = rows.groupBy(key, "_part").agg(F.min_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_first"))
+    far = Window.partitionBy(key).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(key, "_part", F.last("_first", True).over(far).alias("_after"))
+    # from the far end each row is added once
+    near = Window.partitionBy(key, "_part").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_near", F.last("_value", True).over(near))
+    return _joined(rows, carried, [key]).withColumn(name, F.coalesce("_near", "_after")).drop("_part", "_value", "_near", "_after")
+
+
+def preceding(df: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
+    """Adds the value (not null) of the row before each row of a sequence, in parts as `following`."""
+    rows = _parted(df, order)
+    ends = rows.groupBy(key, "_part").agg(F.max_by(value, order).alias("_last"))
+    carried = ends.select(key, "_part", F.lag("_last").over(Window.partitionBy(key).orderBy("_part")).alias("_carry"))
+    rows = rows.withColumn("_near", F.lag(value).over(Window.partitionBy(key, "_part").orderBy(order)))
+    return _joined(rows, carried, [key]).withColumn(name, F.coalesce("_near", "_carry")).drop("_part", "_near", "_carry")
+
+
+def running(df: DataFrame, keys: list[str], part: Column, order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds the sum of the values up to each row, in two levels: over the parts, and within one.
+
+    part rises with the order (it may be any value that does).
+    """
+    rows = df.withColumn("_part", part).withColumn("_value", value)
+    sums = rows.groupBy(*keys, "_part").agg(F.sum("_value").alias("_sum"))
+    base = F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("_value").over(Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_inside", inside)
+    return _joined(rows, sums.select(*keys, "_part", base.alias("_base")), keys).withColumn(name, F.col("_base") + F.col("_inside")).drop("_part", "_value", "_inside", "_base")
+
+
 def sliding(recordings: DataFrame, window: float = 30.0, overlap: float = 5.0) -> DataFrame:
     """`recording_id, index, start_s, end_s` over `recording_id, duration_s`; the last is clipped."""
     if not 0 <= overlap < window:
@@ -75,27 +130,35 @@ def acceptable(candidate: str, current: str, fallback: list[str]) -> bool:
 
 
 def stitched(rows: DataFrame, propose=None) -> DataFrame:
-    """`recording_id, text, accepted, generation_tokens, latency_ms`: a recording's transcripts as one text.
+    """`recording_id, text, accepted, generation_tokens, latency_ms, steps`: a recording's transcripts as one text.
 
     Each chunk is matched with all that stands so far, in order of index. `propose(context,
     chunk)`, if given, suggests a continuation for each boundary, taken where it is acceptable.
+    steps: for each boundary the chunk's index, what was offered, what the overlap rule gives,
+    and whether the offer was taken.
     """
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         done: list[str] = []
-        taken = 0
-        for text in part.sort_values("index")["text"]:
+        steps: list[dict] = []
+        part = part.sort_values("index")
+        for at, text in zip(part["index"], part["text"]):
             words = (text or "").split()
-            new = continuation(done, words) if done else words
-            if propose is not None and done and words:
-                offer = propose(" ".join(done[-80:]), text)
-                if acceptable(offer, text, new):
-                    new, taken = offer.split(), taken + 1
+            # of what stands so far only the last words can be matched
+            new = continuation(done[-60:], words) if done else words
+            if done and words:
+                step = {"index": int(at), "offered": None, "plain": " ".join(new), "taken": False}
+                if propose is not None:
+                    step["offered"] = propose(" ".join(done[-80:]), text)
+                    if acceptable(step["offered"], text, new):
+                        new, step["taken"] = step["offered"].split(), True
+                steps.append(step)
             done += new
-        return pd.DataFrame([(part["recording_id"].iloc[0], " ".join(done), taken, int(part["generation_tokens"].fillna(0).sum()), int(part["latency_ms"].fillna(0).sum()))], columns=["recording_id", "text", "accepted", "generation_tokens", "latency_ms"])
+        taken = sum(x["taken"] for x in steps)
+        return pd.DataFrame([(part["recording_id"].iloc[0], " ".join(done), taken, int(part["generation_tokens"].fillna(0).sum()), int(part["latency_ms"].fillna(0).sum()), steps)], columns=["recording_id", "text", "accepted", "generation_tokens", "latency_ms", "steps"])
 
     clean = rows.select("recording_id", "index", clean_audio(F.col("transcript")).alias("text"), "generation_tokens", "latency_ms")
-    return clean.groupBy("recording_id").applyInPandas(fold, "recording_id string, text string, accepted int, generation_tokens bigint, latency_ms bigint")
+    return clean.groupBy("recording_id").applyInPandas(fold, "recording_id string, text string, accepted int, generation_tokens bigint, latency_ms bigint, steps array<struct<index: int, offered: string, plain: string, taken: boolean>>")
 
 
 def metered(samples: DataFrame, key: str, at: str, value: str, active: float = 25.0) -> DataFrame:
@@ -129,6 +192,30 @@ def packed(items: DataFrame, key: str, order: str, size: str, most: float) -> Da
     return rows.mapInPandas(fold, schema + ", bin int")
 
 
+def chunk_windows(rows: DataFrame, key: str, order: str, size: str, most: float) -> DataFrame:
+    """`<key>, window, <size>`: running sums along a sequence that are closed once they have reached `most` (they may pass it)."""
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, at, held = object(), 0, 0
+        for part in parts:
+            out = []
+            for k, n in zip(part[key].tolist(), part[size].tolist()):
+                if k != last:
+                    if held:
+                        out.append((last, at, held))
+                    last, at, held = k, 0, 0
+                if held >= most:
+                    out.append((k, at, held))
+                    at, held = at + 1, 0
+                held += n
+            yield pd.DataFrame(out, columns=[key, "window", size])
+        if held:
+            yield pd.DataFrame([(last, at, held)], columns=[key, "window", size])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.select(key, order, size).repartition(key).sortWithinPartitions(key, order).mapInPandas(fold, f"{key} {kinds[key]}, window int, {size} {kinds[size]}")
+
+
 def beyond_newest(rows: DataFrame, key: str, step: str, keep: int = 2) -> DataFrame:
     """Rows of each key that retention lets go: all but the `keep` highest steps."""
     return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(step)))).where(F.col("_nth") > keep).drop("_nth")
@@ -171,3 +258,13 @@ def weight_kind(name: Column, keep: tuple[str, ...], out: tuple[str, ...], input
 
     return F.when(starts(keep), "kept").when(starts(out), "dropped").when(starts(inputs), "kept" if keep_inputs else "dropped").otherwise("kept")
 
+
+def weight_shards(weights: DataFrame, shard: str, kind: Column) -> DataFrame:
+    """`shard, kept, dropped, stays`: weights of each shard by kind; a shard without kept ones goes."""
+    rows = weights.groupBy(F.col(shard).alias("shard")).agg(F.count_if(kind == "kept").alias("kept"), F.count_if(kind == "dropped").alias("dropped"))
+    return rows.withColumn("stays", F.col("kept") > 0)
+
+
+def weight_map(names: Column, kind) -> Column:
+    """A map of weight names to shards, without those whose kind(name) isn't `kept`."""
+    return F.map_filter(names, lambda name, _: kind(name) == "kept")

@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from wrackline.functions import patterns as P
 from wrackline.functions import predicates as K
 from wrackline.functions import text as T
+from wrackline.functions import gates as G
 from wrackline.operators import blocks as B
+from wrackline.operators import checkpoints as H
 from wrackline.operators import compare as C
 from wrackline.operators import dedup as D
+from wrackline.operators import extraction as E
 from wrackline.operators import prepare as R
+from wrackline.operators import probes as O
 from wrackline.operators import sequences as S
+from wrackline.sources import files as L
+from wrackline.sources import state as Z
 from wrackline.sources.tables import table
 from wrackline.streaming.metering import metering
 
@@ -117,9 +123,8 @@ def article_chunks(spark, folder):
     return B.chunks(_blocks(spark, folder).withColumn("source", F.col("source").cast("string")), 20, 80)
 
 
-@query("select doc_id, len(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)))::bigint as sentences from documents where text is not null and not contains(text, chr(11))")
+@query("select doc_id, len(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0b\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)))::bigint as sentences from documents")
 def sentence_counts(spark, folder):
-    """All documents, a null text with a null count; the SQL leaves out null texts and those with a vertical tab."""
     count = F.when(F.col("text").isNotNull(), F.size(T.sentences(F.col("text"))))
     return table(spark, folder, "documents").select("doc_id", count.cast("bigint").alias("sentences"))
 
@@ -150,17 +155,29 @@ def simhashes(spark, folder):
     return table(spark, folder, "documents").select("doc_id", T.simhash(F.col("text")).alias("hash"))
 
 
+WORDS = f"regexp_extract_all(lower(text), {q(P.WORD)})"
+
+
+@query(f"""with w as (select doc_id, {WORDS} as w from documents where text is not null), p as (select doc_id, list_distinct([array_to_string(w[i : i + 4], ' ') for i in generate_series(1, greatest(len(w) - 4, 1))]) as p from w),
+h as (select doc_id, len(p) as n, unnest([('0x' || substr(md5(x), 17, 16))::ubigint for x in p]) as h from p), b as (select doc_id, n, b, count(*) filter ((h >> b::ubigint) & 1 = 1) as c from h, generate_series(0, 63) g(b) group by all)
+select doc_id, (sum(case when b < 63 and c * 2 >= n then (1::hugeint << b::int) else 0 end) - max(case when b = 63 and c * 2 >= n then 9223372036854775808::hugeint else 0 end))::bigint as hash from b group by doc_id""")
+def simhashes_md5(spark, folder):
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", T.simhash_md5(F.col("text")).alias("hash"))
+
+
 @query()
 def build_summary_now(spark, folder):
     """The counters that a build reports, on the corpus records."""
     rows = _records(spark, folder)
-    short, off = T.word_count(F.col("content")) < 80, K.is_off_domain(F.col("content"))
-    kept = rows.where(~short & ~off)
-    one = rows.agg(F.count(F.lit(1)).alias("extracted_records"), F.count_if(short).alias("below_minimum_records"), F.count_if(~short & off).alias("off_domain_records"), F.count_if(~short & ~off).alias("_kept"))
-    exact = D.longest_of_copies(kept).agg(F.count(F.lit(1)).alias("_exact"))
-    near = D.deduplicated(kept).agg(F.count(F.lit(1)).alias("output_records"))
-    both = one.crossJoin(F.broadcast(exact)).crossJoin(F.broadcast(near))  # one row each
-    return both.select("extracted_records", "below_minimum_records", "off_domain_records", (F.col("_kept") - F.col("_exact")).alias("exact_duplicates"), (F.col("_exact") - F.col("output_records")).alias("near_duplicates"), "output_records")
+    scanned = rows.agg(F.count_distinct("source").alias("scanned_files"))
+    return scanned.crossJoin(F.broadcast(E.filtered(rows)[1]))  # one row each
+
+
+@query()
+def corpus_build(spark, folder):
+    """A whole build: documents as editions of one line a block, to the records that stay."""
+    editions = table(spark, folder, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("source"), F.replace("text", F.lit("\r"), F.lit("")).alias("text"))
+    return E.build(editions, 20, 200, 40, "\n")[0].select("source", "ordinal", F.sha2("content", 256).alias("key"))
 
 
 VALID = "records as (select distinct shard, line_no, content, sha256(trim(content)) as digest, length(content) as tokens from validated_records where trim(content) <> '')"
@@ -171,6 +188,10 @@ SPLIT = KEPT + ", ranked as (select *, row_number() over (order by substr(digest
 
 def _valid(spark, folder):
     rows = table(spark, folder, "validated_records").where("trim(content) <> ''").select("shard", "line_no", "content").distinct()
+    return _digested(rows)
+
+
+def _digested(rows: DataFrame) -> DataFrame:
     return rows.select("shard", "line_no", "content", T.sha256(F.trim("content")).alias("digest"), F.length("content").alias("tokens"))
 
 
@@ -185,13 +206,36 @@ def train_eval_split(spark, folder):
     return R.with_split(kept).select("digest", "shard", "line_no", "split")
 
 
-@query(SPLIT + """ select (select count(*) from records) as total_records, (select count(*) from records) - (select count(*) from firsts) as deduplicated,
+@query(SPLIT + """ select (select count(*) from (select distinct shard, line_no, content from validated_records)) as total_records, (select count(*) from records) as valid_records, (select count(*) from records) - (select count(*) from firsts) as deduplicated,
 (select count(*) from firsts where tokens < 128) as below_min_tokens, (select count(*) from firsts where tokens > 4096) as above_max_tokens,
 count(*) filter (split = 'train') as train_records, count(*) filter (split = 'eval') as eval_records, coalesce(sum(tokens) filter (split = 'train'), 0)::bigint as train_tokens, coalesce(sum(tokens) filter (split = 'eval'), 0)::bigint as eval_tokens from split""")
 def prepare_summary_now(spark, folder):
-    rows = _valid(spark, folder)
-    seen = R.windowed(rows)
-    return R.summary(rows, seen, R.with_split(seen.where("status = 'kept'")))
+    every = table(spark, folder, "validated_records").select("shard", "line_no", "content").distinct()
+    seen = R.windowed(_valid(spark, folder))
+    return R.summary(every, seen, R.with_split(seen.where("status = 'kept'")), F.coalesce(F.trim("content") != "", F.lit(False)))
+
+
+def _lines_of(rows: DataFrame) -> DataFrame:
+    """Records as JSON lines, those without a split with another role."""
+    message = F.struct(F.when(F.col("split").isNull(), "user").otherwise("assistant").alias("role"), "content")
+    return rows.select("shard", "line_no", F.to_json(F.struct(F.array(message).alias("messages"))).alias("raw"))
+
+
+RAW = "raw as (select distinct shard, line_no, case when split is null then 'role is not assistant' when content is null then 'content is not text' when regexp_matches(content, '^\\s*\\z') then 'content is blank' end as reason, content from validated_records)"
+
+
+@query(f"with {RAW} select shard, line_no, reason, case when reason is null then sha256(regexp_replace(content, '^\\s+|\\s+\\z', '', 'g')) end as digest from raw")
+def record_lines(spark, folder):
+    """Records as JSON lines, validated, the bad ones with their reason."""
+    rows = table(spark, folder, "validated_records").select("shard", "line_no", "split", "content").distinct()
+    found = R.validated(_lines_of(rows), quarantine=True)
+    return found.select("shard", "line_no", "reason", F.when(F.col("reason").isNull(), F.col("digest")).alias("digest")).distinct()
+
+
+@query(f"with {RAW} select shard, line_no, content as text from raw")
+def first_messages(spark, folder):
+    rows = table(spark, folder, "validated_records").select("shard", "line_no", "split", "content").distinct()
+    return L.first_messages(_lines_of(rows)).distinct()
 
 
 @query("select id, case when track = 'control' then 'control' when count(distinct w) = 1 then any_value(w) else 'mixed' end as membership from (select p.id, p.track, case when d is null then null when d in (select digest from validated_records where split = 'train' and digest is not null) then 'train' when d in (select digest from validated_records where split = 'eval' and digest is not null) then 'eval' else 'absent' end as w from (select id, track, unnest(case when len(source_digests) = 0 or source_digests is null then [null] else source_digests end) as d from probes) p) group by id, track")
@@ -200,18 +244,46 @@ def digest_membership(spark, folder):
     return C.membership(table(spark, folder, "probes"), records.where("split = 'train'"), records.where("split = 'eval'"))
 
 
-@query("select id, case when len(choices) <> 4 then 'choices' when answer_index not between 0 and 3 then 'answer' when track not in ('local', 'rare_local', 'control') then 'track' when variant not in ('canonical', 'paraphrase') then 'variant' when track <> 'control' and len(source_digests) = 0 then 'digests' when n <> 2 or v <> 2 then 'family' end as problem from (select *, count(*) over (partition by fact_id) as n, len(list(variant) over (partition by fact_id)) - case when min(variant) over (partition by fact_id) = max(variant) over (partition by fact_id) then 1 else 0 end as v from probes)")
+def _probe_lines(spark, folder):
+    probes = table(spark, folder, "probes").drop("membership")
+    return probes.select(F.lit("probes").alias("shard"), F.row_number().over(Window.orderBy("id")).cast("bigint").alias("line_no"), F.to_json(F.struct(*probes.columns)).alias("raw"))
+
+
+@query("""with p as (select *, case
+when id is null or fact_id is null or variant is null or track is null or category is null or prompt is null or choices is null or answer_index is null or source_digests is null or stability is null or exposure is null then 'missing'
+when len(choices) <> 4 then 'needs four choices' when len(list_filter(choices, lambda c: c is null or trim(c) = '')) > 0 then 'choices must be texts' when answer_index not between 0 and 3 then 'answer_index out of range' when id = '' then 'id must be a text'
+when row_number() over (partition by id) > 1 then 'id stands twice' when track not in ('local', 'rare_local', 'control') then 'unknown track' when len(list_filter(sources, lambda x: x is null)) > 0 then 'sources must be texts' when fact_id = '' then 'fact_id must be a text'
+when variant not in ('canonical', 'paraphrase') then 'unknown variant' when len(list_filter(source_digests, lambda d: d is null or not regexp_matches(d, '^[0-9a-f]{64}\\z'))) > 0 then 'source_digests must be SHA-256' when track <> 'control' and len(source_digests) = 0 then 'needs source digests' end as own,
+count(*) over (partition by fact_id) as n, min(variant) over (partition by fact_id) as a, max(variant) over (partition by fact_id) as b from probes)
+select id, coalesce(own, case when n <> 2 or a = b then 'fact needs both variants' end) as problem from p""")
 def probe_checks(spark, folder):
-    fact = Window.partitionBy("fact_id")
-    n, v = F.count(F.lit(1)).over(fact), F.size(F.collect_set("variant").over(fact))
-    why = F.when(F.size("choices") != 4, "choices").when(~F.col("answer_index").between(0, 3), "answer").when(~F.col("track").isin("local", "rare_local", "control"), "track").when(~F.col("variant").isin("canonical", "paraphrase"), "variant")
-    return table(spark, folder, "probes").select("id", why.when((F.col("track") != "control") & (F.size("source_digests") == 0), "digests").when((n != 2) | (v != 2), "family").alias("problem"))
+    rows = O.checked(O.parsed(_probe_lines(spark, folder)))
+    return rows.select("id", F.when(F.col("problem").startswith("missing"), "missing").otherwise(F.col("problem")).alias("problem"))
+
+
+@query("select id, n::int as n, text from (select distinct id, unnest(generate_series(0, len(choices) - 1)) as n, unnest(list_transform(choices, lambda c: rtrim(prompt, ' ' || chr(9) || chr(10)) || ' ' || c)) as text from probes)")
+def probe_completions(spark, folder):
+    rows = table(spark, folder, "probes").select("id", F.posexplode(O.completions(F.col("prompt"), F.col("choices"))).alias("n", "text"))
+    return rows.distinct()
+
+
+IDS = "ids as (select vec_id, list_transform(embedding[1:8], lambda x: round(x * 4)::int) as a, list_transform(embedding[2:9], lambda x: round(x * 4)::int) as b, list_transform(embedding[1:8], lambda x: x::double) as p from embeddings)"
+START = "(coalesce(list_position(list_transform(generate_series(1, 8), lambda i: a[i] = b[i]), false) - 1, 8))::int"
+
+
+@query(f"with {IDS}, s as (select *, {START} as start from ids) select vec_id, start, case when start between 1 and 7 then round(list_avg(p[start + 1:]), 9) end as score from s")
+def completion_scores(spark, folder):
+    """Where two token sequences part, and the mean log-probability from there on."""
+    ids = lambda at: F.transform(F.slice("embedding", at, 8), lambda x: F.round(x * 4).cast("int"))
+    rows = table(spark, folder, "embeddings").select("vec_id", O.completion_start(ids(1), ids(2)).alias("start"), F.slice("embedding", 1, 8).cast("array<double>").alias("p"))
+    score = F.when(F.col("start").between(1, 7), O.mean_log_probability(F.col("p"), F.col("start")))
+    return rows.select("vec_id", "start", F.round(score, 9).alias("score"))
 
 
 TRACKS = "['local', 'rare_local', 'control']"
-SCORED = f"""scored as (select vec_id as probe_id, {TRACKS}[vec_id % 3 + 1] as track, 'c' || label as category, 'g' || (vec_id % 7) as source_group, 'f' || (vec_id // 6 * 3 + vec_id % 3) as fact_id, (label % 4)::int as a,
+SCORED = f"""scored as (select vec_id as probe_id, {TRACKS}[vec_id % 3 + 1] as track, 'c' || label as category, 'g' || (vec_id % 7) as source_group, 'f' || (vec_id // 6 * 3 + vec_id % 3) as fact_id, 'e' || (vec_id % 5) as exposure, 'm' || (vec_id % 4) as membership, (label % 4)::int as a,
 list_transform(embedding[1:4], lambda x: x::double) as b, list_transform(embedding[5:8], lambda x: x::double) as d from embeddings),
-pairs as (select probe_id, track, category, source_group, fact_id, list_position(b, list_max(b)) - 1 = a as base_correct, list_position(d, list_max(d)) - 1 = a as adapter_correct,
+pairs as (select probe_id, track, category, exposure, membership, source_group, fact_id, list_position(b, list_max(b)) - 1 = a as base_correct, list_position(d, list_max(d)) - 1 = a as adapter_correct,
 b[a + 1] - list_max(list_filter(b, lambda x, i: i <> a + 1)) as base_margin, d[a + 1] - list_max(list_filter(d, lambda x, i: i <> a + 1)) as adapter_margin from scored), deltas as (select *, adapter_margin - base_margin as delta from pairs)"""
 
 
@@ -219,9 +291,9 @@ def _runs(spark, folder):
     v = table(spark, folder, "embeddings")
     track = F.get(F.array(*[F.lit(t) for t in ("local", "rare_local", "control")]), F.col("vec_id") % 3)
     fact = F.concat(F.lit("f"), (F.floor(F.col("vec_id") / 6) * 3 + F.col("vec_id") % 3).cast("string"))
-    dims = v.select(F.col("vec_id").alias("probe_id"), track.alias("track"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"), F.concat(F.lit("g"), (F.col("vec_id") % 7).cast("string")).alias("source_group"), fact.alias("fact_id"), (F.col("label") % 4).cast("int").alias("answer_index"), "embedding")
+    dims = v.select(F.col("vec_id").alias("probe_id"), track.alias("track"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"), F.concat(F.lit("g"), (F.col("vec_id") % 7).cast("string")).alias("source_group"), fact.alias("fact_id"), F.concat(F.lit("e"), (F.col("vec_id") % 5).cast("string")).alias("exposure"), F.concat(F.lit("m"), (F.col("vec_id") % 4).cast("string")).alias("membership"), (F.col("label") % 4).cast("int").alias("answer_index"), "embedding")
     run = lambda at: C.outcomes(dims.withColumn("scores", F.slice("embedding", at, 4).cast("array<double>")))
-    return C.paired(run(1), run(5), ("track", "category", "source_group", "fact_id"))
+    return C.paired(run(1), run(5), ("track", "category", "exposure", "membership", "source_group", "fact_id"))
 
 
 @query(f"with {SCORED} select probe_id, base_correct, adapter_correct, round(delta, 9) as delta from deltas")
@@ -229,10 +301,10 @@ def choice_outcomes(spark, folder):
     return _runs(spark, folder).select("probe_id", "base_correct", "adapter_correct", F.round("delta", 9).alias("delta"))
 
 
-@query(f"""with {SCORED} select case when grouping(track) = 0 then 'track' when grouping(category) = 0 then 'category' else 'overall' end as dimension, coalesce(track, category) as value, count(*) as n, round(avg(base_correct::int), 9) as base_accuracy,
-round(avg(adapter_correct::int), 9) as adapter_accuracy, round(avg(delta), 9) as margin_delta, count(*) filter (delta > 1e-9) as wins, count(*) filter (abs(delta) <= 1e-9) as ties, count(*) filter (delta < -1e-9) as losses from deltas group by grouping sets ((), (track), (category))""")
+@query(f"""with {SCORED} select case when grouping(track) = 0 then 'track' when grouping(category) = 0 then 'category' when grouping(exposure) = 0 then 'exposure' when grouping(membership) = 0 then 'membership' else 'overall' end as dimension, coalesce(track, category, exposure, membership) as value, count(*) as n, round(avg(base_correct::int), 9) as base_accuracy,
+round(avg(adapter_correct::int), 9) as adapter_accuracy, round(avg(delta), 9) as margin_delta, count(*) filter (delta > 1e-9) as wins, count(*) filter (abs(delta) <= 1e-9) as ties, count(*) filter (delta < -1e-9) as losses from deltas group by grouping sets ((), (track), (category), (exposure), (membership))""")
 def grouped_comparison(spark, folder):
-    rows = C.grouped(_runs(spark, folder), ("track", "category"))
+    rows = C.grouped(_runs(spark, folder), ("track", "category", "exposure", "membership"))
     return rows.select("dimension", "value", "n", *[F.round(c, 9).alias(c) for c in ("base_accuracy", "adapter_accuracy", "margin_delta")], "wins", "ties", "losses")
 
 
@@ -254,6 +326,48 @@ def regressed_probes(spark, folder):
     return _runs(spark, folder).where("delta < 0").select("probe_id", "track", F.round("delta", 9).alias("delta"))
 
 
+@query(f"""with {SCORED}, t as (select unnest([track, 'overall']) as track, delta, base_correct, adapter_correct, base_margin, adapter_margin from deltas), names as (select unnest(['local', 'rare_local', 'control', 'none', 'overall']) as track)
+select track, count(delta) as n, coalesce(round(avg(base_correct::int), 9), 0) as base_accuracy, coalesce(round(avg(adapter_margin), 9), 0) as adapter_margin, coalesce(round(avg(delta), 9), 0) as margin_delta, count(*) filter (delta > 1e-9) as wins, count(*) filter (delta < -1e-9) as losses from names left join t using (track) group by track""")
+def track_summaries(spark, folder):
+    rows = C.track_summary(_runs(spark, folder), ("local", "rare_local", "control", "none"))
+    return rows.select("track", "n", *[F.round(c, 9).alias(c) for c in ("base_accuracy", "adapter_margin", "margin_delta")], "wins", "losses")
+
+
+def _results(spark, folder):
+    return _runs(spark, folder).select("probe_id", "track", "category", F.col("base_correct").alias("correct"))
+
+
+@query(f"""with {SCORED}, names as (select unnest(['local', 'rare_local', 'control', 'none', 'overall']) as track), t as (select unnest([track, 'overall']) as track, base_correct as c from deltas)
+select track, count(c) as n, count(*) filter (c) as right, case when count(c) > 0 then round(avg(c::int), 9) end as accuracy from names left join t using (track) group by track""".replace(" as right,", ' as "right",'))
+def track_accuracies(spark, folder):
+    rows = C.track_accuracy(_results(spark, folder), ("local", "rare_local", "control", "none"))
+    return rows.withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query(f"with {SCORED} select track || '::' || category as name, count(*) as n from deltas group by all")
+def category_counts(spark, folder):
+    return C.category_counts(_results(spark, folder))
+
+
+FAMILIES = f"{SCORED}, families as (select fact_id, min(track) as track, bool_and(base_correct) as b, bool_and(adapter_correct) as a from deltas group by fact_id)"
+
+
+@query(f"with {FAMILIES} select case when track = 'control' then 'control' else 'acquisition' end as family_group, count(*) as facts, count(*) filter (b) as base_passes, count(*) filter (a) as adapter_passes, count(*) filter (a and not b) as acquired, count(*) filter (b and not a) as regressed from families group by 1")
+def family_groups(spark, folder):
+    return C.family_groups(C.families(_runs(spark, folder)))
+
+
+@query(f"with {FAMILIES} select count(*) filter (a and not b) as acquired, count(*) filter (b and not a) as regressed from families where track <> 'control'")
+def robust_changes(spark, folder):
+    return C.robust_changes(C.families(_runs(spark, folder)))
+
+
+@query("select user_id, count(value) as records, round(exp(avg(value / 100)), 9) as perplexity from events group by user_id")
+def mean_perplexities(spark, folder):
+    rows = C.mean_perplexity(table(spark, folder, "events").withColumn("loss", F.col("value") / 100), "loss", "user_id")
+    return rows.withColumn("perplexity", F.round("perplexity", 9))
+
+
 @query()
 def bootstrap_intervals(spark, folder):
     rows = _runs(spark, folder).groupBy("track").agg(C.bootstrap(F.col("delta"), F.col("probe_id")).alias("i"))
@@ -284,20 +398,26 @@ def clean_transcripts(spark, folder):
 
 
 def _transcripts(spark, folder):
+    """Each window once, its latest delivery whole."""
     rows = table(spark, folder, "audio_windows").where("recording_id is not null and index is not null")
-    return rows.groupBy("recording_id", "index").agg(F.max("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.max("transcript").alias("transcript"), F.max("generation_tokens").alias("generation_tokens"), F.max("latency_ms").alias("latency_ms"))
+    kept = ("start_s", "end_s", "transcript", "generation_tokens", "latency_ms")
+    order = Window.partitionBy("recording_id", "index").orderBy(F.col("created_at").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in kept])
+    return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select("recording_id", "index", *kept)
 
 
-@query("with t as (select recording_id, index, max(start_s) as s, max(end_s) as e, max(transcript) as x from audio_windows group by all) select recording_id, string_agg(printf('[%.1fs-%.1fs] %s', s, e, x), chr(10) || chr(10) order by index) as text from t where s is not null and e is not null and x is not null and s * 10 = round(s * 10) and abs(e * 20 - round(e * 20)) > 1e-6 group by recording_id")
+WINDOWS = "windows as (select * from (select *, row_number() over (partition by recording_id, index order by created_at desc nulls last, start_s nulls last, end_s nulls last, transcript nulls last, generation_tokens nulls last, latency_ms nulls last) as nth from audio_windows where recording_id is not null and index is not null) where nth = 1)"
+
+
+@query(f"with {WINDOWS} select recording_id, string_agg(printf('[%.1fs-%.1fs] %s', start_s, end_s, transcript), chr(10) || chr(10) order by index) as text from windows where start_s is not null and end_s is not null and transcript is not null group by recording_id")
 def literal_transcripts(spark, folder):
-    """All windows with known times and text; the SQL covers only those whose times round alike everywhere."""
+    """All windows with known times and text."""
     rows = _transcripts(spark, folder).where("start_s is not null and end_s is not null and transcript is not null")
     return S.literal(rows)
 
 
 @query()
 def stitched_transcripts(spark, folder):
-    return S.stitched(_transcripts(spark, folder))
+    return S.stitched(_transcripts(spark, folder)).drop("steps")
 
 
 @query("""with l as (select user_id, ts, lag(ts) over w as p, lag(value) over w as v from events window w as (partition by user_id order by ts))
@@ -307,15 +427,30 @@ def active_metering(spark, folder):
     return rows.groupBy("user_id").agg(F.round(F.max("consumed_s"), 3).alias("consumed_s"))
 
 
-@query("select user_id, arg_min(event_id, (value, event_id)) as best_event, min(value) as best, arg_max(value, event_id) as last from events where value is not null group by user_id")
+@query("select user_id, arg_min(event_id, (value, event_id)) as best_step, min(value) as best, arg_max(value, event_id) as last from events where value is not null group by user_id")
 def loss_argmin(spark, folder):
-    rows = table(spark, folder, "events").where("value is not null")
-    return rows.groupBy("user_id").agg(F.min_by("event_id", F.struct("value", "event_id")).alias("best_event"), F.min("value").alias("best"), F.max_by("value", "event_id").alias("last"))
+    return C.best_step(table(spark, folder, "events"), "event_id", "value", "event_id", "user_id")
 
 
-@query()
+ITEMS = "items as (select *, row_number() over (partition by l_orderkey order by l_linenumber) as nth from (select l_orderkey, l_linenumber, sum(l_quantity) as size from lineitem group by all))"
+
+
+def _items(spark, folder):
+    return table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("size"))
+
+
+@query(f"""with recursive {ITEMS}, r as (select l_orderkey, l_linenumber, size, nth, 0 as bin, size as held from items where nth = 1
+union all select i.l_orderkey, i.l_linenumber, i.size, i.nth, case when r.held + i.size > 60 then r.bin + 1 else r.bin end, case when r.held + i.size > 60 then i.size else r.held + i.size end from r join items i on i.l_orderkey = r.l_orderkey and i.nth = r.nth + 1)
+select l_orderkey, l_linenumber, size, bin from r""")
 def bin_packing(spark, folder):
-    return S.packed(table(spark, folder, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity", 60.0)
+    return S.packed(_items(spark, folder), "l_orderkey", "l_linenumber", "size", 60.0)
+
+
+@query(f"""with recursive {ITEMS}, r as (select l_orderkey, nth, 0 as w, size as held from items where nth = 1
+union all select i.l_orderkey, i.nth, case when r.held >= 60 then r.w + 1 else r.w end, case when r.held >= 60 then i.size else r.held + i.size end from r join items i on i.l_orderkey = r.l_orderkey and i.nth = r.nth + 1)
+select l_orderkey, w as "window", max(held) as size from r group by l_orderkey, w having max(held) > 0""")
+def chunk_windows(spark, folder):
+    return S.chunk_windows(_items(spark, folder), "l_orderkey", "l_linenumber", "size", 60.0)
 
 
 @query("select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_orderkey desc) as n from orders) where n > 2")
@@ -339,7 +474,18 @@ def manifest_diff(spark, folder):
     return S.differing(rows, first.select("run_id", *FIELDS), "run_id").select("run_id", "field")
 
 
-@query()
+COLUMNS = ("base_model_id", "base_model_revision", "batch_size", "dataset_repo_id", "dataset_revision", "flash_attn_version", "gradient_accumulation", "image_digest", "lora_alpha", "lora_dropout", "lora_rank", "max_length", "ms_swift_version", "peft_version", "python_version", "save_steps", "swift_commit", "target_modules", "target_parameters", "torch_version", "transformers_version")
+
+
+@query("select run_id, lora_rank, lora_dropout, target_modules, image_digest from recipe_manifests")
+def manifest_round_trip(spark, folder):
+    """Manifests as JSON and back."""
+    rows = table(spark, folder, "recipe_manifests")
+    schema = rows.schema.simpleString()
+    return rows.select(Z.from_record(Z.to_record(F.struct("*")), schema).alias("m")).select("m.run_id", "m.lora_rank", "m.lora_dropout", "m.target_modules", "m.image_digest")
+
+
+@query("select run_id, sha256(to_json(struct_pack(" + ", ".join(f"{c} := {c}" for c in COLUMNS) + "))::varchar) as hash from recipe_manifests")
 def manifest_hashes(spark, folder):
     rows = table(spark, folder, "recipe_manifests")
     return rows.select("run_id", S.manifest_hash([c for c in rows.columns if c != "run_id"]).alias("hash"))
@@ -351,14 +497,149 @@ def weight_filter(spark, folder):
     return table(spark, folder, "part").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""select p_brand as shard, count(*) filter (keep) as kept, count(*) filter (not keep) as dropped, bool_or(keep) as stays from (select p_brand, starts_with(p_type, 'S') or not (starts_with(p_type, 'P') or starts_with(p_type, 'M') or starts_with(p_type, 'E')) as keep from part) group by p_brand""")
+def weight_shards(spark, folder):
+    return S.weight_shards(table(spark, folder, "part"), "p_brand", S.weight_kind(F.col("p_type"), ("S",), ("P", "E"), ("M",), False))
+
+
+def _listing(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Orders as checkpoints of their customers' runs, their items as files; finished orders have a marker."""
+    orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("run_id"), F.concat(F.lit("checkpoint-"), F.col("o_orderkey").cast("string")).alias("folder"), "o_orderkey", "o_orderstatus", "o_orderpriority")
+    files = _items(spark, folder).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("run_id", "folder", F.concat("l_linenumber", F.lit(".bin")).alias("path"), F.col("size").cast("bigint").alias("size"))
+    done = orders.where("o_orderstatus = 'F'")
+    raw = F.when(F.col("o_orderkey") % 7 == 0, "no JSON").otherwise(F.to_json(F.struct(F.col("o_orderpriority").alias("manifest_hash"))))
+    return files.unionByName(done.select("run_id", "folder", F.lit(H.MARKER).alias("path"), F.lit(10).cast("bigint").alias("size"))), done.select("run_id", "folder", raw.alias("raw"))
+
+
+FOUND = f"""{ITEMS}, found as (select o_custkey as run_id, o_orderkey as step, count(l_linenumber) + (o_orderstatus = 'F')::int as files, (coalesce(sum(size), 0) + case when o_orderstatus = 'F' then 10 else 0 end)::bigint as bytes, o_orderstatus = 'F' as complete,
+case when o_orderstatus = 'F' and o_orderkey % 7 <> 0 then o_orderpriority else '' end as manifest_hash from orders left join items on l_orderkey = o_orderkey group by o_custkey, o_orderkey, o_orderstatus, o_orderpriority having count(l_linenumber) > 0 or o_orderstatus = 'F')"""
+
+
+@query(f"with {FOUND} select * from found")
+def checkpoint_inventory(spark, folder):
+    return H.checkpoints(*_listing(spark, folder)).drop("folder")
+
+
+def _recipes(spark, folder):
+    return table(spark, folder, "customer").select(F.col("c_custkey").alias("run_id"), F.lit("1-URGENT").alias("manifest_hash"))
+
+
+@query(f"with {FOUND} select run_id, max(step) as step from found where complete and manifest_hash = '1-URGENT' and run_id in (select c_custkey from customer) group by run_id")
+def newest_compatible(spark, folder):
+    return H.newest(H.checkpoints(*_listing(spark, folder)), _recipes(spark, folder))
+
+
+@query(f"with {FOUND} select run_id, max(step) as step from found where complete group by run_id")
+def newest_complete(spark, folder):
+    return H.newest(H.checkpoints(*_listing(spark, folder)))
+
+
+@query(f"with {FOUND} select run_id, step from found where complete and manifest_hash in ('', '1-URGENT') and run_id in (select c_custkey from customer)")
+def seeded_steps(spark, folder):
+    return H.seeded(H.checkpoints(*_listing(spark, folder)), _recipes(spark, folder))
+
+
+@query(f"with {FOUND}, n as (select run_id, step, row_number() over (partition by run_id order by step desc) as nth from found where complete) select run_id, step from n where nth > 2")
+def stale_checkpoints(spark, folder):
+    return H.stale(H.checkpoints(*_listing(spark, folder))).select("run_id", "step")
+
+
+@query(f"with {FOUND}, m as (select run_id, max(step) as step from found where complete group by run_id) select m.run_id, m.step, l_linenumber || '.bin' as path, size::bigint as size from m join items on l_orderkey = m.step union all select run_id, step, '_COMPLETE.json', 10 from m")
+def restored_files(spark, folder):
+    listing, markers = _listing(spark, folder)
+    return H.restored(listing, H.newest(H.checkpoints(listing, markers)))
+
+
+@query(f"""with recursive {ITEMS}, f as (select o_custkey as run_id, o_orderkey as step, l_linenumber || '.bin' as path, size::bigint as size, row_number() over (partition by o_custkey, o_orderkey order by size, l_linenumber) as nth from orders join items on l_orderkey = o_orderkey where l_linenumber <> 5),
+r as (select *, 0 as chunk, size as held from f where nth = 1 union all select f.*, case when r.held + f.size > 50 then r.chunk + 1 else r.chunk end, case when r.held + f.size > 50 then f.size else r.held + f.size end from r join f on f.run_id = r.run_id and f.step = r.step and f.nth = r.nth + 1)
+select run_id, step, path, size, nth::int as nth, chunk from r""")
+def upload_chunks(spark, folder):
+    files = _listing(spark, folder)[0].withColumn("step", T.step_of(F.col("folder")))
+    return H.upload_plan(files, 50, ("5.b*", "logs/"))
+
+
+@query("select p_partkey from part where p_partkey in (select l_partkey from lineitem where l_quantity > 49)")
+def registered_files(spark, folder):
+    held = table(spark, folder, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
+    return H.registered(table(spark, folder, "part").select("p_partkey"), held, "p_partkey")
+
+
+@query("select user_id, count(*) as files, coalesce(sum(round(value)), 0)::bigint as bytes from events group by user_id")
+def folder_sizes(spark, folder):
+    return H.folder_sizes(table(spark, folder, "events").select("user_id", F.round("value").cast("bigint").alias("size")), "user_id")
+
+
+@query("""select event_id, isfinite(v) and v is not null as finite, coalesce(isfinite(v) and v < 12, false) as plausible, round(exp(value / 100), 9) as perplexity, round(greatest(value - 10, 0) / 3600 * 8, 9) as hours, value <= 30.5 as fits,
+case when abs(value - 20) < 5 then 'inactive' when abs(value - 40) > 2 * abs(value - 20) + 1e-3 then 'suspect' else 'active' end as activation, (value / 100 - 0.3) <= 0.02 as improved from (select *, case when event_id % 9 = 0 then 'nan'::double when event_id % 11 = 0 then 'inf'::double else value end as v from events where value is not null)""".replace("isfinite(v) and v is not null as finite", "coalesce(isfinite(v), false) as finite"))
+def gate_measures(spark, folder):
+    value = F.col("value")
+    loss = F.when(F.col("event_id") % 9 == 0, F.lit(float("nan"))).when(F.col("event_id") % 11 == 0, F.lit(float("inf"))).otherwise(value)
+    return table(spark, folder, "events").where("value is not null").select(
+        "event_id", G.finite(loss).alias("finite"), G.plausible(loss).alias("plausible"), F.round(G.perplexity(value / 100), 9).alias("perplexity"), F.round(G.gpu_hours(F.lit(10.0), value, 8), 9).alias("hours"), G.fitting_duration(value, 30.0).alias("fits"),
+        G.activation(F.lit(20.0), value, F.lit(40.0), value, 5.0).alias("activation"), G.improved(F.lit(0.3), value / 100, 0.02).alias("improved"),
+    )
+
+
+@query("select p_partkey, ((case when r = 0 then 0 else ((r - 1) // 2 + 1 - 1) // 2 + 1 end) - case when r = 0 then 0 else 0 end) as halved_twice, (case when r = 0 then 0 else (((r - 1) // 2) // 2) // 2 + 1 end + p_partkey // 100 * 13)::bigint as length from (select p_partkey, p_partkey % 100 as r from part)".replace("((case when r = 0 then 0 else ((r - 1) // 2 + 1 - 1) // 2 + 1 end) - case when r = 0 then 0 else 0 end) as halved_twice, ", ""))
+def convolved_lengths(spark, folder):
+    return table(spark, folder, "part").select("p_partkey", G.convolved_length(F.col("p_partkey")).alias("length"))
+
+
+@query("select user_id, event_id as step, value as loss from events where value is not null and event_type <> 'error'")
+def trainer_log(spark, folder):
+    """Events as log lines; errors have no loss in theirs."""
+    e = table(spark, folder, "events")
+    raw = F.to_json(F.struct(F.when(F.col("event_type") != "error", F.col("value")).alias("loss"), F.concat(F.col("event_id").cast("string"), F.lit("/9")).alias("global_step/max_steps")))
+    lines = e.select(F.col("user_id").alias("shard"), F.col("event_id").alias("line_no"), raw.alias("raw"))
+    return L.trainer_log(lines).select(F.col("shard").alias("user_id"), F.col("step").cast("bigint").alias("step"), "loss")
+
+
+def _outcomes(spark, folder):
+    """Documents as editions: some with records already, some with text, some that convert to nothing."""
+    d = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("stem"), "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    kinds = {"pdf": F.lit(True), "jsonl": F.col("doc_id") % 5 == 0, "txt": F.col("doc_id") % 3 == 0}
+    listing = None
+    for ext, there in kinds.items():
+        part = d.where(there).select(F.concat(F.lit("in/"), F.col("stem"), F.lit("." + ext)).alias("path"), F.lit(9).cast("bigint").alias("length"))
+        listing = part if listing is None else listing.unionByName(part)
+    texts = d.where("doc_id % 3 <> 0").select("stem", F.when(F.col("n") == 0, "no text in it").alias("error"))
+    return E.outcomes(L.edition_status(listing), texts, d.where("n > 200").select("stem"))
+
+
+OUTCOMES = """outcomes as (select doc_id::varchar as stem, case when doc_id % 5 = 0 then 'skipped' when doc_id % 3 = 0 then 'reused' else 'extracted' end as plan, case when doc_id % 3 <> 0 and coalesce(length(text), 0) = 0 then 'no text in it' when coalesce(length(text), 0) <= 200 and doc_id % 5 <> 0 then 'no records' end as error from documents)"""
+
+
+@query(f"with {OUTCOMES} select stem, case when error is not null then 'failed' else plan end as status, error from outcomes")
+def batch_outcomes(spark, folder):
+    return _outcomes(spark, folder)
+
+
+@query(f"with {OUTCOMES}, s as (select case when error is not null then 'failed' else plan end as s from outcomes) select count(*) as scanned, count(*) filter (s = 'skipped') as skipped, count(*) filter (s = 'reused') as reused, count(*) filter (s = 'extracted') as extracted, count(*) filter (s = 'failed') as failed from s")
+def batch_summary(spark, folder):
+    return E.batch_summary(_outcomes(spark, folder))
+
+
+@query("select shard, line_no, row_number() over (order by tokens, shard, line_no) as place from (select distinct shard, line_no, length(content) as tokens from validated_records where trim(content) <> '' and length(content) > 3000)")
+def token_order(spark, folder):
+    """The place of the longest records in order of their tokens."""
+    rows = _valid(spark, folder).where("tokens > 3000").select("shard", "line_no", "tokens").distinct()
+    ordered = S.running(rows.withColumn("_all", F.lit(0)), ["_all"], F.floor(F.col("tokens") / 64), ["tokens", "shard", "line_no"], F.lit(1), "place")
+    return R.in_token_order(ordered).select("shard", "line_no", F.col("place").cast("bigint").alias("place"))
+
+
+@query("""with l as (select user_id, ts, lag(ts) over w as p, lag(value) over w as v from events window w as (partition by user_id order by ts))
+select user_id::varchar as run_id, round(sum(case when v >= 25 then epoch_us(ts) - epoch_us(p) else 0 end) / 1e6, 3) as consumed_s from l group by user_id""")
 def stream_metering(spark, folder):
     """The metering stream, run to the end of what is there; equals the batch query."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     at = f"{named}/metering-{uuid.uuid4().hex}"
     shape = table(spark, folder, "events").schema
-    stream = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(folder)
+    # a file is found by its name in the folder, a folder of files is a source of its own
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/events.parquet")
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    stream = spark.readStream.schema(shape)
+    stream = stream.parquet(f"{folder}/events.parquet") if whole else stream.option("pathGlobFilter", "events.parquet").parquet(folder)
     rows = metering(stream.select(F.col("user_id").cast("string").alias("run_id"), F.col("ts"), F.col("value").alias("watts")))
-    run = rows.writeStream.foreachBatch(lambda part, n: part.write.mode("append").parquet(f"{at}/out")).outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    run = rows.writeStream.foreachBatch(lambda part, n: part.write.mode("overwrite").parquet(f"{at}/out/n={n}")).outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{at}/out").groupBy("run_id").agg(F.max_by("consumed_s", "samples").alias("consumed_s"))
+    return spark.read.parquet(f"{at}/out").groupBy("run_id").agg(F.round(F.max_by("consumed_s", "samples"), 3).alias("consumed_s"))

@@ -27,12 +27,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the checkpoint folder and return it without its lineage.
 
     The folder is the one the session names in spark.checkpoint.dir, shared by all
-    executors, so a lost executor costs nothing. Only where no folder is set (tests,
-    a single machine) is a temporary one made.
+    executors, so a lost executor costs nothing. Only on a single machine (a local master)
+    is a temporary one made where none is set; elsewhere that is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wrackline-"))
     return df.checkpoint(eager=True)
