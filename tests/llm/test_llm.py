@@ -51,15 +51,21 @@ def test_grams_against_plain_loops():
 
 def test_near_duplicates_against_all_pairs(spark):
     texts = collection(1, 150)
-    rows = [(i, t) for i, t in enumerate(texts)] + [(500, None), (501, ""), (502, "two words"), (503, "two words"), (504, texts[0]), (None, texts[0]), (3, texts[3])]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(500, None), (501, ""), (502, "two words"), (503, "two words"), (505, " " * 40), (506, " " * 40), (507, "Local news"), (508, "Local news"), (504, texts[0]), (None, texts[0]), (3, texts[3])]
     df = spark.createDataFrame(rows, "record_id bigint, content string").withColumn("rep", F.lit("clash")).withColumn("n", F.lit(1))
     members, links = neardup.near_links(df, "record_id", "content", words=3, likeness=0.5)
-    some = df.where("length(content) > 12").select(F.col("record_id").alias("id"))
-    got = {tuple(r) for r in neardup.expanded(members, links, some).collect()}
+    got = {tuple(r) for r in neardup.expanded(members, links).collect()}
     known = {i: t for i, t in rows if i is not None and t}
     want = {(a, b) for a, b in itertools.combinations(sorted(known), 2) if likeness(known[a], known[b], 3) >= 0.5}
     assert got == want
-    groups = {r.id: r for r in neardup.near_groups(df, "record_id", "content", words=3, likeness=0.5).collect()}
+    sure = neardup.near_links(df, "record_id", "content", words=3, likeness=0.5, exact=True)
+    assert {tuple(r) for r in neardup.expanded(*sure).collect()} == want
+    found = neardup.near_groups(df, "record_id", "content", words=3, likeness=0.5)
+    groups = {r.id: r for r in found.collect()}
+    held = [g for i, g in groups.items() if i is not None and len(W.words(known.get(i, ""))) > 2]
+    counts = neardup.counted(found).first()
+    assert counts.records == len(groups) and counts.exact_duplicates == sum(g.id != g.rep for g in held)
+    assert counts.near_duplicates == len({g.rep for g in held}) - len({g.class_id for g in held}) and counts.remaining == counts.records - counts.exact_duplicates - counts.near_duplicates
     assert set(groups) == {i for i, _ in rows if i is not None}
     for a, b in want:
         assert groups[a].class_id == groups[b].class_id
@@ -104,6 +110,12 @@ def test_cross_split_against_all_pairs(spark):
     known = {i: (s, t) for i, s, t in rows if t and s}
     want = {(a, b) for a in known for b in known if known[a][0] == "eval" and known[b][0] == "train" and likeness(known[a][1], known[b][1], 3) >= 0.5}
     assert got == want and (900, 901) in got
+    sure = X.overlaps(df, "rec_id", "content", "split", words=3, likeness=0.5, exact=True)
+    assert {(r.x, r.y) for r in X.expanded(*sure).collect()} == want
+    assert {r.split for r in X.reported(members, links).collect()} == {"eval"}
+    other = X.overlaps(df, "rec_id", "content", "split", sides=("train", "eval"), words=3, likeness=0.5)
+    report = X.reported(*other, side="train").collect()
+    assert [(r.split, r.overlapping) for r in report] == [("train", len({b for _, b in want}))]
     empty = df.where("false")
     assert X.overlaps(empty, "rec_id", "content", "split")[1].count() == 0
 
@@ -265,6 +277,69 @@ def test_scans():
     assert [bool(scans.page_number(t)) for t in ("12", "- 3 -", "Page 12", "PAGE TWO", "[4]", "3 / 16", "I", "Lot", "x", "")] == [True] * 7 + [False] * 3
 
 
+def test_paragraphs_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(scans, "CHUNK", 4)
+    words = "the council met on monday and agreed that new plan would go ahead at once with all members".split()
+    lex = scans.Lexicon({w: 1000 for w in words}, {}, {}, set())
+    long = "the council met on monday and agreed that the new plan would"
+    rows = [("s", 0, "The council met."), ("s", 1, long), ("s", 2, None), ("s", 3, "17"), *[("s", i, str(i)) for i in range(4, 40)], ("s", 40, "go ahead with all mem-"), *[("s", i, "Page 7") for i in range(41, 46)], ("s", 46, "bers at once."), ("s", 47, "The plan."), (None, 3, long), (None, 4, "go ahead.")]
+    df = spark.createDataFrame(rows, "source string, idx int, text string").withColumn("is_heading", F.lit(False)).withColumn("scanned_at", F.lit(None).cast("timestamp"))
+    got = [(r.source, r.idx, r.text) for r in scans.repaired(df, lex).orderBy("source", "idx").collect()]
+    assert got == [(None, 3, long + " go ahead."), ("s", 0, "The council met."), ("s", 1, long + " go ahead with all members at once."), ("s", 47, "The plan.")]
+    assert {(r.idx, r.kind) for r in scans.damage(df, lex).collect() if r.kind != "page_number"} == {(40, "hyphen")}
+    # the same whatever the size of chunks
+    monkeypatch.setattr(scans, "CHUNK", 1024)
+    assert [(r.source, r.idx, r.text) for r in scans.repaired(df, lex).orderBy("source", "idx").collect()] == got
+
+
+def test_headers_of_any_length():
+    long = "The Bell | " + "| " * 60 + "News | 12.1.1998 Page 3"
+    assert scans.header_of(long, "bell", {"news"}) == (len(long), True)
+
+
+def test_copies_cost_no_more(spark):
+    import time
+
+    began = time.time()
+    bins = packing.best_fit([10] * 40_000, [1] * 40_000, [0] * 40_000, 100)
+    assert len(set(bins)) == 40_000 and time.time() - began < 20
+    draw = random.Random(3)
+    sizes, clusters = [draw.randint(1, 60) for _ in range(400)], [1 << draw.randrange(6) if draw.random() < 0.5 else 0 for _ in range(400)]
+    bins = packing.best_fit(sizes, clusters, [0] * 400, 100)
+    # against the plain search from the tightest bin on
+    room, held, want = [], [], [0] * 400
+    for i in sorted(range(400), key=lambda i: (-sizes[i], clusters[i], i)):
+        fits = sorted((r, b) for b, r in enumerate(room) if r >= sizes[i] and not held[b] & clusters[i] and r > 0)
+        if fits:
+            b = fits[0][1]
+        else:
+            b = len(room)
+            room.append(100), held.append(0)
+        room[b] -= sizes[i]
+        held[b] |= clusters[i]
+        want[i] = b
+    assert bins == want
+
+
+def test_schedule_repeats(spark):
+    from fractions import Fraction
+
+    each = mixing.period({"a": Fraction(1, 3), "b": Fraction(2, 3) - Fraction(1, 10**9), "c": Fraction(1, 10**9)}, 300)
+    assert each == {"a": 100, "b": 199, "c": 1}
+    records = spark.createDataFrame([(i, "ab"[i % 4 > 0], 10) for i in range(4000)], "id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([("a", 0.25, 1), ("b", 0.75, 1)], "source string, target_share double, max_repeats int")
+    import unittest.mock as mock
+
+    with mock.patch.object(mixing, "PERIOD", 20):
+        chosen, shares = mixing.mixed(records, targets, block=10)
+        slots = sorted((r.slot, r.source) for r in chosen.collect())
+    assert [s for s, _ in slots] == list(range(4000)) and {r.source: r.binding for r in shares.collect()} == {"a": True, "b": True}
+    done = 0
+    for t, (_, source) in enumerate(slots, 1):
+        done += source == "a"
+        assert abs(done - t / 4) < 1
+
+
 def test_scans_in_spark(spark):
     body = "The council met on Monday and agreed that the new plan would go ahead."
     rows = [("the-bell_1950-03-06", i, body, False) for i in range(20)]

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Ids up to this number (8 MB) are sent to every task; more are joined by shuffle.
-SENT = 1_000_000
+#: Rows of ids up to this number are sent to every task; more are joined by shuffle.
+SENT = 100_000
 
 
 def text_id(text: str) -> Column:

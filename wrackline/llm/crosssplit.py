@@ -1,13 +1,16 @@
 """Records of one split that also stand, exactly or almost, in another, by winnowing.
 
 From every window of `window` consecutive k-grams of words the one with the least hash is
-kept, so texts that share any run of k + window - 1 words keep a common fingerprint (8 words by
-default). Wordings that are common among the evaluation records are put last in the order of
-hashes: a window keeps one only if it has nothing else, and the guarantee stands as the order
-is the same everywhere. Fingerprints are joined across the splits; pairs with enough of them
+kept, so texts that share any run of k + window - 1 words (8 by default) keep a common
+fingerprint. Wordings that are common among the evaluation records are put last in the order of
+hashes, and a text that has enough others isn't joined on them: so the guarantee holds for runs
+of words that aren't common. Fingerprints are joined across the splits; pairs with enough of them
 are aligned: shared k-grams are seeds, collinear seeds are chained, chains are extended word
 by word, and the covered share of either text and its likeness are measured on whole texts.
 
+Where no pair may be missed, `exact=True` joins on the rarest word n-grams of each text instead,
+of which two texts of the likeness always share one; the rest is the same.
+
 Copies are collapsed first, within their split; only fingerprints that the evaluation side
 holds (a bitset of bounded size) leave the training side's tasks.
 """
@@ -23,11 +26,12 @@ from pyspark.sql import functions as F
 
 from wrackline.llm.arrow import signed
 from wrackline.llm.copies import classes, newest, only, texts_of
+from wrackline.llm.neardup import gram_sets, rare_cells
 from wrackline.llm.words import WordHashes, distinct, grams, hashed
 from wrackline.session import cut
 
 #: Texts of fewer words also give their 3-grams: they may have no window of 8 words in common.
-SHORT = 16
+SHORT = 32
 #: A text whose fingerprints are common ones by more than this share is joined on these, too.
 COMMON_SHARE = 0.2
 
@@ -82,7 +86,7 @@ def fingerprints(texts: DataFrame, common: np.ndarray, k: int, window: int, shar
                 held = np.bincount(text[last], minlength=part.num_rows) > share * total
                 use = ~last | held[text]
                 value, text = value[use], text[use]
-                short = lengths < 2 * SHORT
+                short = lengths < SHORT
                 three, own, _ = grams(flat, lengths, 3)
                 three, own = three[short[own]] ^ np.uint64(3), own[short[own]]
                 value, text = distinct(np.concatenate((value, three)), np.concatenate((text, own)))
@@ -167,7 +171,7 @@ def align(x: np.ndarray, y: np.ndarray, k: int, slack: int) -> tuple[int, int, i
     return int(in_x.sum()), int(in_y.sum()), passages, longest
 
 
-def overlaps(df: DataFrame, key: str, text: str, split: str, at: str | None = None, sides: tuple[str, str] = ("eval", "train"), keep: tuple[str, ...] = (), words: int = 5, likeness: float = 0.8, k: int = 5, window: int = 4, part: float = 0.002, shared: float = 0.1, slack: int = 12):
+def overlaps(df: DataFrame, key: str, text: str, split: str, at: str | None = None, sides: tuple[str, str] = ("eval", "train"), keep: tuple[str, ...] = (), words: int = 5, likeness: float = 0.8, k: int = 5, window: int = 4, part: float = 0.002, shared: float = 0.1, slack: int = 12, exact: bool = False):
     """Links between a text of the first split and one of the second.
 
     Returns `(members, links)`. members: `id, rep, split, <keep>` of both splits (a key counts
@@ -184,12 +188,19 @@ def overlaps(df: DataFrame, key: str, text: str, split: str, at: str | None = No
     reps, others = members.where("id = rep"), members.where("id <> rep")
     # a delivery that no longer holds may add a candidate; texts that hold are measured below
     few, many = (only(df.where(F.col(split) == side).select(F.col(key).alias("id"), F.col(text).alias("text")), others, "left_anti") for side in sides)
-    common = common_grams(few, k, reps.where(F.col("split") == sides[0]).count(), part)
-    probing = cut(fingerprints(few, common, k, window, COMMON_SHARE))
-    wanted = bitset(probing, probing.count())
-    found = fingerprints(many, common, k, window, COMMON_SHARE / 2, wanted)
-    met = probing.toDF("seed", "a", "na").join(found.toDF("seed", "b", "nb"), "seed")
-    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first(F.least("na", "nb")).alias("of")).where(F.col("n") >= shared * F.col("of"))
+    if exact:
+        sets = cut(gram_sets(few.unionByName(many), words))
+        cells = cut(rare_cells(sets.where(F.size("grams") > 0), likeness).join(sets.select("id", F.size("grams").alias("n")), "id"))
+        side = lambda s, c: cells.join(reps.where(F.col("split") == s).select("id"), "id", "left_semi").toDF(c, "cell", "n" + c)
+        met = side(sides[0], "a").join(side(sides[1], "b"), "cell").where(F.least("na", "nb") >= likeness * F.greatest("na", "nb") - 1e-9)
+        pairs = met.groupBy("a", "b").agg(F.lit(1).alias("_"))
+    else:
+        common = common_grams(few, k, reps.where(F.col("split") == sides[0]).count(), part)
+        probing = cut(fingerprints(few, common, k, window, COMMON_SHARE))
+        wanted = bitset(probing, probing.count())
+        found = fingerprints(many, common, k, window, COMMON_SHARE / 2, wanted)
+        met = probing.toDF("seed", "a", "na").join(found.toDF("seed", "b", "nb"), "seed")
+        pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first(F.least("na", "nb")).alias("of")).where(F.col("n") >= shared * F.col("of"))
     pairs = cut(pairs.select("a", "b"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,13 +233,14 @@ def expanded(members: DataFrame, links: DataFrame) -> DataFrame:
     return links.join(m.toDF("x", "a"), "a").join(m.toDF("y", "b"), "b")
 
 
-def reported(members: DataFrame, links: DataFrame, *by: str) -> DataFrame:
+def reported(members: DataFrame, links: DataFrame, *by: str, side: str = "eval") -> DataFrame:
     """For each value of `by` of the first split's records: their number, those with an overlap, their mean best coverage.
 
-    Links stay between representatives: each record takes the best of its class.
+    Links stay between representatives: each record takes the best of its class. `side` is the
+    first split's name.
     """
     best = links.groupBy("a").agg(F.max("coverage_a").alias("coverage"), F.max("likeness").alias("likeness")).withColumnRenamed("a", "rep")
-    side = members.where(F.col("split") == "eval").join(best, "rep", "left")
-    return side.groupBy("split", *by).agg(
+    rows = members.where(F.col("split") == side).join(best, "rep", "left")
+    return rows.groupBy("split", *by).agg(
         F.count(F.lit(1)).alias("records"), F.count("likeness").alias("overlapping"), F.count(F.when(F.col("likeness") == 1, 1)).alias("same"), F.round(F.avg(F.coalesce("coverage", F.lit(0.0))), 6).alias("mean_coverage")
     )

@@ -97,7 +97,7 @@ def mixed(records: DataFrame, targets: DataFrame, total: int | None = None, bloc
     asked = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in wanted.collect()}
     total, parts = plan(sizes, asked, total)
     names = sorted(parts)
-    each = period({s: parts[s][0] for s in names}) if names else {}
+    each = period({s: parts[s][0] for s in names}, PERIOD) if names else {}
     slots = schedule([Fraction(each[s], PERIOD) for s in names], [each[s] for s in names])
     spark = records.sparkSession
     slot_rows = spark.createDataFrame([(names[s], i, n) for n, (s, i) in enumerate(slots)], "source string, nth long, at_slot long")

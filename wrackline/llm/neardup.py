@@ -14,6 +14,8 @@ Surviving record pairs are measured exactly on their n-grams.
 Cells are needed because one tree over the whole collection would prune nothing near
 its root. A pair of likeness t shares none of the cells with the probability
 (1 - t**rows)**bands: 2e-5 at t = 0.5 with the default 2 rows and 38 bands, 5e-9 at 0.6.
+Where no pair may be missed, `exact=True` takes the cells from the rarest n-grams instead
+(`rare_cells`): records of the likeness always share one, and the trees stand in these cells.
 """
 
 from __future__ import annotations
@@ -199,6 +201,20 @@ def _paired(postings: DataFrame, t: float) -> DataFrame:
     return spread.mapInArrow(run, "a bigint, b bigint").groupBy("a", "b").agg(F.lit(1).alias("_")).select("a", "b")
 
 
+def rare_cells(sets: DataFrame, likeness: float) -> DataFrame:
+    """`cell, id`: each text's rarest n-grams, enough of them that two texts of the likeness share one.
+
+    sets: `id, grams`. N-grams are ordered by their number of texts, then by value; of n, the first
+    n - ceil(likeness * n) + 1 are taken. Those of one text only lead nowhere and are left out.
+    """
+    rows = sets.select("id", F.size("grams").alias("n"), F.explode("grams").alias("cell"))
+    counts = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("texts"))
+    # an n-gram of one text is among the first by any means, so only the others need their counts
+    shared = rows.join(counts.where("texts > 1"), "cell").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "cell"))).alias("shared"))
+    reach = F.col("n") - F.ceil(F.col("n") * likeness - 1e-9) + 1 - (F.col("n") - F.size("shared"))
+    return shared.where(reach > 0).select("id", F.explode(F.slice("shared", F.lit(1), reach.cast("int"))).alias("c")).select("c.cell", "id")
+
+
 def gram_sets(texts: DataFrame, words: int) -> DataFrame:
     """`id, grams`: the distinct n-grams of each text (`id, text`)."""
 
@@ -215,19 +231,24 @@ def gram_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id bigint, grams array<bigint>")
 
 
-def near_links(df: DataFrame, key: str, text: str, at: str | None = None, words: int = 5, likeness: float = 0.8, bits: int = 512, rows: int = 2, bands: int = 38):
+def near_links(df: DataFrame, key: str, text: str, at: str | None = None, words: int = 5, likeness: float = 0.8, bits: int = 512, rows: int = 2, bands: int = 38, exact: bool = False):
     """Links between different texts of the likeness or more.
 
-    Returns `(members, links)`: members has `id, rep` for every key (a key counts once, its
-    latest delivery by `at` holds; `rep` is the least key with the very same text), links has
-    `a, b, likeness` with a < b, both representatives. Null, empty and very short texts (less
-    than `words` words) have no n-grams and so no links; they are members of their own class.
+    Returns `(members, links)`: members has `id, rep, has_grams` for every key (a key counts once,
+    its latest delivery by `at` holds; `rep` is the least key with the very same text, has_grams
+    whether the text has an n-gram at all), links has `a, b, likeness` with a < b, both
+    representatives. Null, empty and very short texts (less than `words` words) have no n-grams
+    and so no links; they are members of their own class. With `exact`, no pair is missed.
     """
-    members = cut(classes(newest(df, key, text, at)))
-    reps = members.where(F.col("id") == F.col("rep"))
+    members = classes(newest(df, key, text, at)).select("id", "rep", "text_id")
+    reps = cut(members.where(F.col("id") == F.col("rep")))
     texts = texts_of(df, key, text, reps)
     signed_rows = cut(signatures(texts, words, bits, rows, bands))
-    postings = signed_rows.select(F.explode("cells").alias("cell"), "id", "n", "bits")
+    members = cut(members.join(signed_rows.select(F.col("id").alias("rep"), F.lit(True).alias("has_grams")), "rep", "left").select("id", "rep", F.coalesce("has_grams", F.lit(False)).alias("has_grams")))
+    if exact:
+        postings = rare_cells(cut(gram_sets(texts, words)), likeness).join(signed_rows.select("id", "n", "bits"), "id")
+    else:
+        postings = signed_rows.select(F.explode("cells").alias("cell"), "id", "n", "bits")
     pairs = cut(cell_pairs(postings, likeness))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = cut(gram_sets(texts_of(df, key, text, reps.join(asked, "id", "left_semi")), words))
@@ -238,23 +259,34 @@ def near_links(df: DataFrame, key: str, text: str, at: str | None = None, words:
     return members, links
 
 
-def expanded(members: DataFrame, links: DataFrame, textual: DataFrame) -> DataFrame:
+def expanded(members: DataFrame, links: DataFrame) -> DataFrame:
     """`a, b`: all pairs of different ids behind the links and within classes of the same text.
 
-    Only for results that are defined as pairs of records; `textual` (`id`) are the
-    representatives with at least one n-gram, copies of other texts make no pair.
+    Only for results that are defined as pairs of records. Copies of a text without an n-gram
+    make no pair: they have no likeness.
     """
     m = members.select("id", "rep")
     across = links.join(m.toDF("x", "a"), "a").join(m.toDF("y", "b"), "b").select("x", "y")
-    some = m.join(textual.select(F.col("id").alias("rep")), "rep", "left_semi").select("id", "rep")
+    some = members.where("has_grams").select("id", "rep")
     copies = some.where(F.col("id") != F.col("rep"))
     within = copies.toDF("x", "rep").join(some.toDF("y", "rep"), "rep").where("x <> y").select("x", "y")
     both = across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return both.groupBy("a", "b").agg(F.lit(1).alias("_")).select("a", "b")
 
 
+def counted(groups: DataFrame) -> DataFrame:
+    """One row `records, exact_duplicates, near_duplicates, remaining` of `near_groups`: what a build that keeps one record a group drops.
+
+    Records without an n-gram are counted as records and remain.
+    """
+    of = groups.where("has_grams").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") == F.col("rep")).alias("texts"), F.count_if(F.col("id") == F.col("class_id")).alias("kept"))
+    every = groups.agg(F.count(F.lit(1)).alias("records"))
+    one = every.crossJoin(F.broadcast(of))  # one row each
+    return one.select("records", (F.col("n") - F.col("texts")).alias("exact_duplicates"), (F.col("texts") - F.col("kept")).alias("near_duplicates"), (F.col("records") - F.col("n") + F.col("kept")).alias("remaining"))
+
+
 def near_groups(df: DataFrame, key: str, text: str, at: str | None = None, **how) -> DataFrame:
-    """`id, class_id, links, copies`: one row per key.
+    """`id, rep, has_grams, class_id, links, copies`: one row per key.
 
     class_id is the least key of the group that links and copies join together, links the
     number of different texts linked to this one's text, copies the number of other keys with
@@ -267,4 +299,4 @@ def near_groups(df: DataFrame, key: str, text: str, at: str | None = None, **how
     size = members.groupBy("rep").agg((F.count(F.lit(1)) - 1).alias("copies"))
     about = size.join(degree, "rep", "left").join(group, "rep", "left")
     rows = members.join(about, "rep")
-    return rows.select("id", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
+    return rows.select("id", "rep", "has_grams", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies")

@@ -12,13 +12,19 @@ from wrackline.sources.tables import table
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     records = table(spark, folder, "corpus_records")
     members, links = neardup.near_links(records, "record_id", "content", "extracted_at", words=3, likeness=0.5)
-    long_enough = records.select(F.col("record_id").alias("id")).where(F.length("content") > 4)
-    return neardup.expanded(members, links, long_enough).toDF("record_id_a", "record_id_b")
+    return neardup.expanded(members, links).toDF("record_id_a", "record_id_b")
+
+
+def _groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_groups(table(spark, folder, "corpus_records"), "record_id", "content", "extracted_at", words=3, likeness=0.5)
 
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
-    records = table(spark, folder, "corpus_records")
-    return neardup.near_groups(records, "record_id", "content", "extracted_at", words=5, likeness=0.8).withColumnRenamed("id", "record_id")
+    return _groups(spark, folder).select(F.col("id").alias("record_id"), "class_id", "links", "copies")
+
+
+def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.counted(_groups(spark, folder))
 
 
 def _cross(spark: SparkSession, folder: str):
@@ -139,7 +145,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.rates(_toxic(spark, folder), "source")
 
 
-_ALL = (p1_found, p1_groups, p2_found, p2_coverage, p3_sequences, p3_fill, p4_found, p4_blocks, p4_clean, p5_found, p5_windows, p6_found, p6_probes, p7_found, p7_text, p8_ids, p8_decoded, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
+_ALL = (p1_found, p1_groups, p1_counts, p2_found, p2_coverage, p3_sequences, p3_fill, p4_found, p4_blocks, p4_clean, p5_found, p5_windows, p6_found, p6_probes, p7_found, p7_text, p8_ids, p8_decoded, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
 QUERIES = {f.__name__: f for f in _ALL}
 
 def _words(column: str) -> str:
@@ -154,8 +160,20 @@ common as (select a.id as a, b.id as b, count(*) as n from sets a join sets b on
 pairs as (select a, b from common join sizes x on x.id = a join sizes y on y.id = b where common.n >= 0.5 * (x.n + y.n - common.n)) select a as {key}_a, b as {key}_b from pairs"""
 
 
+def _groups_sql(last: str) -> str:
+    pairs = _alike("corpus_records", "record_id", "''", "true")
+    return "with recursive " + pairs.removeprefix("with ").rsplit(" select ", 1)[0] + f""", r as (select distinct record_id as id, content from corpus_records),
+reps as (select id, min(id) over (partition by content) as rep, count(*) over (partition by content) - 1 as copies, content from r), edges as (select a, b from pairs union select b, a from pairs),
+reach as (select id as a, id as b from r union select reach.a, edges.b from reach join edges on reach.b = edges.a), groups as (select a as id, min(b) as class_id from reach group by a), {last}"""
+
+
 ORACLES: dict[str, str] = {
     "p1_found": _alike("corpus_records", "record_id", "''", "true"),
+    "p1_groups": _groups_sql("""linked as (select a, count(distinct r.content) as n from edges join r on r.id = edges.b join r o on o.id = edges.a where o.content <> r.content group by a)
+select reps.id as record_id, case when content is null then rep when copies > 0 then least(class_id, rep) else class_id end as class_id, coalesce(n, 0) as links, copies from reps join groups using (id) left join linked on linked.a = reps.id"""),
+    "p1_counts": _groups_sql("""g as (select reps.*, class_id, id in (select id from sizes) as has from reps join groups using (id))
+select count(*) as records, count(*) filter (has and id <> rep) as exact_duplicates, count(*) filter (has and id = rep and id <> class_id) as near_duplicates, count(*) filter (not has or id = class_id) as remaining from g"""),
+    "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
     "p2_found": _alike("validated_records", "rec_id", "split", "a.side <> b.side and a.side in ('train', 'eval') and b.side in ('train', 'eval')"),
     "p4_found": """with r as (select distinct record_id, source, content from corpus_records), l as (select record_id, source, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as line_no from r),
 w as (select record_id, source, line_no, trim(lower(regexp_replace(line, '[^A-Za-z]+', ' ', 'g'))) as wording from l), n as (select source, count(distinct record_id) as n from r group by source),
