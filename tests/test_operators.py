@@ -222,8 +222,8 @@ def test_build_and_outcomes(spark):
     prose = "The council met on Monday in Bridgetown and agreed that the new plan would go ahead at once without further debate"
     text = "\n\n".join(["## Big news", prose + " one.", "## More news", prose + " one.", "## Last news", "Too short to be of any use to anybody at all here."])
     records, counters = E.build(spark.createDataFrame([("e", text), ("f", text)], "source string, text string"), 5, 60, 12)
-    assert counters.first().asDict() == {"scanned_files": 2, "extracted_records": 6, "below_minimum_records": 0, "off_domain_records": 0, "exact_duplicates": 3, "near_duplicates": 0, "output_records": 3}
-    assert [(r.source, r.ordinal) for r in records.collect()] == [("e", 0), ("e", 1), ("e", 2)]
+    assert counters.first().asDict() == {"scanned_files": 2, "extracted_records": 6, "below_minimum_records": 0, "off_domain_records": 0, "exact_duplicates": 3, "near_duplicates": 1, "output_records": 2}
+    assert [(r.source, r.ordinal) for r in records.collect()] == [("e", 1), ("e", 2)]
 
     def convert(path, content):
         if b"bad" in content:
