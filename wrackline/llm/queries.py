@@ -167,6 +167,10 @@ reps as (select id, min(id) over (partition by content) as rep, count(*) over (p
 reach as (select id as a, id as b from r union select reach.a, edges.b from reach join edges on reach.b = edges.a), groups as (select a as id, min(b) as class_id from reach group by a), {last}"""
 
 
+_LINES = """r as (select distinct record_id, source, content from corpus_records), l as (select record_id, source, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as line_no from r),
+w as (select record_id, source, line, line_no, trim(lower(regexp_replace(line, '[^A-Za-z]+', ' ', 'g'))) as wording from l), n as (select source, count(distinct record_id) as n from r group by source),
+k as (select w.source, wording from w join n on w.source = n.source where wording <> '' group by w.source, wording, n.n having count(distinct record_id) >= 3 and count(distinct record_id) * 50 >= n.n)"""
+
 ORACLES: dict[str, str] = {
     "p1_found": _alike("corpus_records", "record_id", "''", "true"),
     "p1_groups": _groups_sql("""linked as (select a, count(distinct r.content) as n from edges join r on r.id = edges.b join r o on o.id = edges.a where o.content <> r.content group by a)
@@ -175,10 +179,17 @@ select reps.id as record_id, case when content is null then rep when copies > 0
 select count(*) as records, count(*) filter (has and id <> rep) as exact_duplicates, count(*) filter (has and id = rep and id <> class_id) as near_duplicates, count(*) filter (not has or id = class_id) as remaining from g"""),
     "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
     "p2_found": _alike("validated_records", "rec_id", "split", "a.side <> b.side and a.side in ('train', 'eval') and b.side in ('train', 'eval')"),
-    "p4_found": """with r as (select distinct record_id, source, content from corpus_records), l as (select record_id, source, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as line_no from r),
-w as (select record_id, source, line_no, trim(lower(regexp_replace(line, '[^A-Za-z]+', ' ', 'g'))) as wording from l), n as (select source, count(distinct record_id) as n from r group by source),
-k as (select w.source, wording from w join n on w.source = n.source where wording <> '' group by w.source, wording, n.n having count(distinct record_id) >= 3 and count(distinct record_id) * 50 >= n.n)
-select record_id, line_no::int as line_no from w join k on w.source = k.source and w.wording = k.wording""",
+    "p4_found": f"with {_LINES} select record_id, line_no::int as line_no from w join k on w.source = k.source and w.wording = k.wording",
+    "p4_clean": f"""with {_LINES}, m as (select w.*, k.wording is not null as gone from w left join k on w.source = k.source and w.wording = k.wording),
+c as (select record_id, count(*) filter (gone) as removed, coalesce(string_agg(line, chr(10) order by line_no) filter (not gone), '') as rest from m group by record_id)
+select r.record_id, r.source, case when coalesce(removed, 0) = 0 then content else regexp_replace(regexp_replace(rest, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') end as content, coalesce(removed, 0)::int as removed from r left join c using (record_id)""",
+    "p5_windows": """with recursive w as (select recording_id, index, start_s, case when end_s is null then recording_s else least(end_s, recording_s) end as e, pauses from (select *, row_number() over (partition by recording_id, index order by created_at desc nulls last, start_s nulls first, end_s nulls first, recording_s nulls first, pauses nulls first) as nth from audio_windows) where nth = 1),
+t as (select *, ceil((e - start_s) / 0.001 - 1e-6)::int as len, list_transform(coalesce(pauses, []), lambda p: round((p - start_s) / 0.001)::int) as stops from w where e - start_s > 30.001),
+r as (select recording_id, index, start_s, e, len, stops, 0 as piece, 0 as at_, case when len <= 30000 then len else coalesce(list_max(list_filter(stops, lambda p: p > 5000 and p <= 30000 and p < len)), 30000) end as stop from t
+union all select recording_id, index, start_s, e, len, stops, piece + 1, stop - 5000, case when len - stop + 5000 <= 30000 then len else coalesce(list_max(list_filter(stops, lambda p: p > stop and p <= stop + 25000 and p < len)), stop + 25000) end from r where stop < len),
+p as (select recording_id, index as source_index, piece, case when piece = 0 then start_s else round(start_s + at_ * 0.001, 6) end as start_s, case when stop = len then e else round(start_s + stop * 0.001, 6) end as end_s from r
+union all select recording_id, index, 0, start_s, e from w where coalesce(e - start_s <= 30.001, true))
+select recording_id, source_index, piece, (row_number() over (partition by recording_id order by source_index, piece) - 1)::int as index, start_s, end_s from p""",
     "p5_found": "select distinct recording_id, index from audio_windows where (case when end_s is null then recording_s else least(end_s, recording_s) end) - start_s > 30.001",
     "p6_found": f"""with d as (select distinct rec_id, {_words('content')} as w from validated_records where split = 'train' and content is not null), p as (select id, {_words('prompt')} as w from probes),
 g as (select distinct rec_id, unnest([array_to_string(w[i : i + 7], ' ') for i in generate_series(1, len(w) - 7)]) as g from d where len(w) > 7), h as (select distinct id, unnest([array_to_string(w[i : i + 7], ' ') for i in generate_series(1, len(w) - 7)]) as g from p where len(w) > 7)
