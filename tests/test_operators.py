@@ -232,6 +232,7 @@ def test_build_and_outcomes(spark):
 
     files = spark.createDataFrame([("a.pdf", b"some text"), ("b.pdf", b"bad"), ("c.pdf", b"  ")], "path string, content binary")
     assert {r.path: r.error for r in E.converted(files, convert).collect()} == {"a.pdf": None, "b.pdf": "ValueError: unreadable", "c.pdf": "ValueError: no text in it"}
+    assert {r.path: (r.duration_s, r.error) for r in E.measured(files, lambda p, c: len(c) - 2).collect()} == {"a.pdf": (7.0, None), "b.pdf": (1.0, None), "c.pdf": (None, "ValueError: a length of 0.0 s")}
     with pytest.raises(Exception, match="unreadable"):
         E.converted(files, convert, fail_fast=True).collect()
 

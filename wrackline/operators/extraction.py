@@ -45,6 +45,28 @@ def converted(files: DataFrame, convert: Callable[[str, bytes], str], known: tup
     return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
 
 
+def measured(files: DataFrame, measure: Callable[[str, bytes], float], known: tuple[type[Exception], ...] = (ValueError, OSError, RuntimeError)) -> DataFrame:
+    """`path, duration_s, error` of recordings (`path, content`): what a decoder given as `measure(path, content)` says of each.
+
+    A failure of a known kind, or a length that is not a positive number, is that file's error.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for path, content in zip(part["path"], part["content"]):
+                try:
+                    seconds = float(measure(path, content))
+                    if not 0 < seconds < float("inf"):
+                        raise ValueError(f"a length of {seconds} s")
+                    out.append((path, seconds, None))
+                except known as e:
+                    out.append((path, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", "duration_s", "error"]).astype({"duration_s": "float64"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, duration_s double, error string")
+
+
 def outcomes(status: DataFrame, texts: DataFrame, records: DataFrame) -> DataFrame:
     """`stem, status, error` of each edition: what was planned (`stem, status`), or `failed` with its error.
 

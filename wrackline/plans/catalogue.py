@@ -150,17 +150,27 @@ def near_dedup(spark, folder):
     return D.deduplicated(_records(spark, folder))
 
 
+def _hash_sql(rows: str, key: str, text: str) -> str:
+    """CTEs that end in `hashes` (key, hash): the votes of `simhash_md5` on a table's texts."""
+    return f"""w as (select {key}, regexp_extract_all(lower({text}), {q(P.WORD)}) as w from {rows} where {text} is not null), p as (select {key}, list_distinct([array_to_string(w[i : i + 4], ' ') for i in generate_series(1, greatest(len(w) - 4, 1))]) as p from w),
+h as (select {key}, len(p) as n, unnest([('0x' || substr(md5(x), 17, 16))::ubigint for x in p]) as h from p), b as (select {key}, n, b, count(*) filter ((h >> b::ubigint) & 1 = 1) as c from h, generate_series(0, 63) g(b) group by all),
+hashes as (select {key}, (sum(case when b < 63 and c * 2 >= n then (1::hugeint << b::int) else 0 end) - max(case when b = 63 and c * 2 >= n then 9223372036854775808::hugeint else 0 end))::bigint as hash from b group by {key})"""
+
+
+@query(f"""with recursive x as (select source, ordinal, content, row_number() over (order by length(content) desc, source, ordinal) as r from (select source, ordinal, content, row_number() over (partition by {canon('content')} order by length(content) desc, source, ordinal) as n from (select distinct source, ordinal, content from corpus_records where content is not null)) where n = 1),
+{_hash_sql('x', 'r', 'content')}, near as (select b.r, list(a.r) as before from hashes a join hashes b on a.r < b.r and bit_count(xor(a.hash, b.hash)) <= 3 group by b.r),
+steps as (select 0::bigint as r, []::bigint[] as gone union all select steps.r + 1, case when before is not null and len(list_filter(before, lambda q: not list_contains(gone, q))) > 0 then list_append(gone, steps.r + 1) else gone end from steps left join near on near.r = steps.r + 1 where steps.r < (select max(r) from x)),
+last as (select gone from steps order by r desc limit 1) select source, ordinal from x, last where not list_contains(gone, r)""")
+def near_dedup_md5(spark, folder):
+    return D.deduplicated(_records(spark, folder), hashing=T.simhash_md5).select("source", "ordinal")
+
+
 @query()
 def simhashes(spark, folder):
     return table(spark, folder, "documents").select("doc_id", T.simhash(F.col("text")).alias("hash"))
 
 
-WORDS = f"regexp_extract_all(lower(text), {q(P.WORD)})"
-
-
-@query(f"""with w as (select doc_id, {WORDS} as w from documents where text is not null), p as (select doc_id, list_distinct([array_to_string(w[i : i + 4], ' ') for i in generate_series(1, greatest(len(w) - 4, 1))]) as p from w),
-h as (select doc_id, len(p) as n, unnest([('0x' || substr(md5(x), 17, 16))::ubigint for x in p]) as h from p), b as (select doc_id, n, b, count(*) filter ((h >> b::ubigint) & 1 = 1) as c from h, generate_series(0, 63) g(b) group by all)
-select doc_id, (sum(case when b < 63 and c * 2 >= n then (1::hugeint << b::int) else 0 end) - max(case when b = 63 and c * 2 >= n then 9223372036854775808::hugeint else 0 end))::bigint as hash from b group by doc_id""")
+@query(f"with {_hash_sql('documents', 'doc_id', 'text')} select doc_id, hash from hashes")
 def simhashes_md5(spark, folder):
     return table(spark, folder, "documents").where("text is not null").select("doc_id", T.simhash_md5(F.col("text")).alias("hash"))
 
