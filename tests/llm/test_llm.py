@@ -75,8 +75,8 @@ def test_near_duplicates_against_all_pairs(spark):
 def test_large_cells_are_cut_without_loss(spark):
     texts = collection(2, 90)
     df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
-    postings = neardup.signatures(df, 3).select(F.lit(7).cast("bigint").alias("cell"), "id", "n", "bits")
-    got = {tuple(r) for r in neardup.cell_pairs(postings, 0.5, block=20).collect()}
+    records = neardup.signatures(df, 3)
+    got = {tuple(r) for r in neardup.cell_pairs(records.select(F.lit(7).cast("bigint").alias("cell"), "id"), records, 0.5, block=20).collect()}
     want = {(a, b) for a, b in itertools.combinations(range(90), 2) if likeness(texts[a], texts[b], 3) >= 0.5}
     assert want <= got and len(got) < 90 * 89 / 4
 

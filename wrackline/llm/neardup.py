@@ -125,21 +125,22 @@ class Tree:
             stack.append((level - 1, x[good], y[good]))
 
 
-def cell_pairs(postings: DataFrame, t: float, block: int = 4096) -> DataFrame:
-    """`a, b`: pairs of ids that share a cell and pass the bound. postings: `cell, id, n, bits`.
+def cell_pairs(cells: DataFrame, records: DataFrame, t: float, block: int = 4096) -> DataFrame:
+    """`a, b`: pairs of ids that share a cell and pass the bound. cells: `cell, id`; records: `id, n, bits`, each id once.
 
-    A cell with more than `block` records is cut into blocks, and each pair of its blocks is
-    a group of its own: no group holds more than two blocks (about), and no pair is lost.
+    Cells are shuffled without the records first: most hold one record, and only those with more
+    are given sizes and bitmaps. A cell with more than `block` records is cut into blocks, and
+    each pair of its blocks is a group of its own: no group holds more than two blocks (about),
+    and no pair is lost.
     """
-    sizes = postings.groupBy("cell").count().where(F.col("count") > block).select("cell", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    many = sizes.limit(20_001).count()
-    if many:
-        sizes = F.broadcast(sizes) if many <= 20_000 else sizes
-        postings = postings.join(sizes, "cell", "left").withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).otherwise(0))
-        other = F.explode(F.when(F.col("blocks").isNotNull(), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0))))
-        postings = postings.withColumn("other", other).withColumn("cell", F.when(F.col("blocks").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))))
-    # id 0 apart, a cell key of two cells that clash only adds pairs that the bound drops
-    return _paired(postings, t)
+    met = cells.select("cell", "id").repartition("cell")
+    sizes = met.groupBy("cell").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    kept = met.join(sizes, "cell").withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
+    own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).otherwise(0)
+    kept = kept.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a cell key of two cells that clash only adds pairs that the bound drops
+    key = F.when(F.col("blocks") == 1, F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")))
+    return _paired(kept.select(key.alias("cell"), "id").join(records.select("id", "n", "bits"), "id"), t)
 
 
 def _paired(postings: DataFrame, t: float) -> DataFrame:
@@ -246,10 +247,10 @@ def near_links(df: DataFrame, key: str, text: str, at: str | None = None, words:
     signed_rows = cut(signatures(texts, words, bits, rows, bands))
     members = cut(members.join(signed_rows.select(F.col("id").alias("rep"), F.lit(True).alias("has_grams")), "rep", "left").select("id", "rep", F.coalesce("has_grams", F.lit(False)).alias("has_grams")))
     if exact:
-        postings = rare_cells(cut(gram_sets(texts, words)), likeness).join(signed_rows.select("id", "n", "bits"), "id")
+        cells = rare_cells(cut(gram_sets(texts, words)), likeness)
     else:
-        postings = signed_rows.select(F.explode("cells").alias("cell"), "id", "n", "bits")
-    pairs = cut(cell_pairs(postings, likeness))
+        cells = signed_rows.select(F.explode("cells").alias("cell"), "id")
+    pairs = cut(cell_pairs(cells, signed_rows, likeness))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = cut(gram_sets(texts_of(df, key, text, reps.join(asked, "id", "left_semi")), words))
     one, two = sets.toDF("a", "ga"), sets.toDF("b", "gb")
