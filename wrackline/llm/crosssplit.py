@@ -65,8 +65,8 @@ def _member(value: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == value
 
 
-def fingerprints(texts: DataFrame, common: np.ndarray, k: int, window: int, share: float, wanted: np.ndarray | None = None) -> DataFrame:
-    """`seed, id, seeds` of texts (`id, text`); seeds is the number of the text's fingerprints.
+def fingerprints(texts: DataFrame, common: np.ndarray, k: int, window: int, share: float, words: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """`seed, id, sizes` of texts (`id, text`); sizes: the number of the text's fingerprints and, times 2**32, of its distinct word n-grams.
 
     common: sorted k-grams that come last; wanted: a bitset (bytes) that a seed has to be in.
     """
@@ -88,16 +88,18 @@ def fingerprints(texts: DataFrame, common: np.ndarray, k: int, window: int, shar
                 value, text = value[use], text[use]
                 short = lengths < SHORT
                 three, own, _ = grams(flat, lengths, 3)
+                held_grams = distinct(*((three, own) if words == 3 else grams(flat, lengths, words)[:2]))[1]
+                sizes = np.bincount(held_grams, minlength=part.num_rows).astype(np.int64) << 32
                 three, own = three[short[own]] ^ np.uint64(3), own[short[own]]
                 value, text = distinct(np.concatenate((value, three)), np.concatenate((text, own)))
-                total = np.bincount(text, minlength=part.num_rows).astype(np.int32)
+                sizes += np.bincount(text, minlength=part.num_rows)
                 if wanted is not None:
                     place = (value >> np.uint64(11)) % np.uint64(bits)
                     hit = (wanted[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
                     value, text = value[hit], text[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(value)), part.column("id").take(pa.array(text)), pa.array(total[text])], names=["seed", "id", "seeds"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(value)), part.column("id").take(pa.array(text)), pa.array(sizes[text])], names=["seed", "id", "sizes"])
 
-    return texts.select("id", "text").mapInArrow(run, "seed bigint, id bigint, seeds int")
+    return texts.select("id", "text").mapInArrow(run, "seed bigint, id bigint, sizes bigint")
 
 
 def common_grams(texts: DataFrame, k: int, records: int, part: float, most: int = 1_000_000) -> np.ndarray:
@@ -196,11 +198,15 @@ def overlaps(df: DataFrame, key: str, text: str, split: str, at: str | None = No
         pairs = met.groupBy("a", "b").agg(F.lit(1).alias("_"))
     else:
         common = common_grams(few, k, reps.where(F.col("split") == sides[0]).count(), part)
-        probing = cut(fingerprints(few, common, k, window, COMMON_SHARE))
+        probing = cut(fingerprints(few, common, k, window, COMMON_SHARE, words))
         wanted = bitset(probing, probing.count())
-        found = fingerprints(many, common, k, window, COMMON_SHARE / 2, wanted)
+        found = fingerprints(many, common, k, window, COMMON_SHARE / 2, words, wanted)
         met = probing.toDF("seed", "a", "na").join(found.toDF("seed", "b", "nb"), "seed")
-        pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first(F.least("na", "nb")).alias("of")).where(F.col("n") >= shared * F.col("of"))
+        # texts of the likeness can't differ more in their numbers of n-grams
+        grams_a, grams_b = F.shiftright("na", 32), F.shiftright("nb", 32)
+        met = met.where(F.least(grams_a, grams_b) >= likeness * F.greatest(grams_a, grams_b) - 1e-9)
+        of = F.least(F.col("na").bitwiseAND(0xFFFFFFFF), F.col("nb").bitwiseAND(0xFFFFFFFF))
+        pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first(of).alias("of")).where(F.col("n") >= shared * F.col("of"))
     pairs = cut(pairs.select("a", "b"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
