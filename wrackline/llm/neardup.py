@@ -34,6 +34,8 @@ from wrackline.llm.words import WordHashes, distinct, grams, hashed
 from wrackline.session import cut
 
 FANOUT = 8
+#: Bits of the wider bitmap that candidates must pass before their n-grams are fetched.
+WIDE = 2048
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -41,7 +43,7 @@ def _seeds(n: int) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, words: int = 3, bits: int = 512, rows: int = 2, bands: int = 38) -> DataFrame:
-    """`id, n, bits, cells` of texts (`id, text`) with at least one n-gram."""
+    """`id, n, bits, cells, wide, more` of texts (`id, text`) with at least one n-gram; wide is a bitmap of WIDE bits, more the n-grams that share a bit in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, factors = WordHashes(), _seeds(rows * bands)
@@ -58,6 +60,10 @@ def signatures(texts: DataFrame, words: int = 3, bits: int = 512, rows: int = 2,
                 n = np.diff(np.append(starts, len(text)))
                 maps = np.zeros((len(own), bits), np.bool_)
                 maps[np.repeat(np.arange(len(own)), n), ((value >> np.uint64(17)) % np.uint64(bits)).astype(np.int64)] = True
+                wide = np.zeros((len(own), WIDE), np.bool_)
+                wide[np.repeat(np.arange(len(own)), n), ((value >> np.uint64(29)) % np.uint64(WIDE)).astype(np.int64)] = True
+                more = n - wide.sum(axis=1)
+                wide = np.packbits(wide, axis=1).view(np.int64)
                 cells = np.empty((len(own), bands), np.uint64)
                 for b in range(bands):
                     key = np.full(len(own), b + 1, np.uint64)
@@ -67,11 +73,11 @@ def signatures(texts: DataFrame, words: int = 3, bits: int = 512, rows: int = 2,
                         key ^= key >> np.uint64(32)
                     cells[:, b] = key
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(own)), pa.array(n.astype(np.int32)), blobs(np.packbits(maps, axis=1)), lists(signed(cells.ravel()), np.full(len(own), bands), pa.int64())],
-                    names=["id", "n", "bits", "cells"],
+                    [part.column("id").take(pa.array(own)), pa.array(n.astype(np.int32)), blobs(np.packbits(maps, axis=1)), lists(signed(cells.ravel()), np.full(len(own), bands), pa.int64()), lists(wide.ravel(), np.full(len(own), WIDE // 64), pa.int64()), pa.array(more.astype(np.int32))],
+                    names=["id", "n", "bits", "cells", "wide", "more"],
                 )
 
-    return texts.select("id", "text").mapInArrow(run, "id bigint, n int, bits binary, cells array<bigint>")
+    return texts.select("id", "text").mapInArrow(run, "id bigint, n int, bits binary, cells array<bigint>, wide array<bigint>, more int")
 
 
 def _count(words: np.ndarray) -> np.ndarray:
@@ -216,6 +222,14 @@ def rare_cells(sets: DataFrame, likeness: float) -> DataFrame:
     return shared.where(reach > 0).select("id", F.explode(F.slice("shared", F.lit(1), reach.cast("int"))).alias("c")).select("c.cell", "id")
 
 
+def possible(pairs: DataFrame, records: DataFrame, t: float) -> DataFrame:
+    """The pairs (`a, b`) that the bound on the wide bitmaps of their records (`id, n, wide, more`) can't rule out: long texts fill the narrow ones."""
+    one, two = (records.select("id", "n", "wide", "more").toDF(c, "n" + c, "w" + c, "m" + c) for c in "ab")
+    joined = pairs.join(one, "a").join(two, "b")
+    shared = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, n: s + n) + F.least("ma", "mb")
+    return joined.where(shared * (1 + t) >= t * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b")
+
+
 def gram_sets(texts: DataFrame, words: int) -> DataFrame:
     """`id, grams`: the distinct n-grams of each text (`id, text`)."""
 
@@ -250,7 +264,7 @@ def near_links(df: DataFrame, key: str, text: str, at: str | None = None, words:
         cells = rare_cells(cut(gram_sets(texts, words)), likeness)
     else:
         cells = signed_rows.select(F.explode("cells").alias("cell"), "id")
-    pairs = cut(cell_pairs(cells, signed_rows, likeness))
+    pairs = cut(possible(cell_pairs(cells, signed_rows, likeness), signed_rows, likeness))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = cut(gram_sets(texts_of(df, key, text, reps.join(asked, "id", "left_semi")), words))
     one, two = sets.toDF("a", "ga"), sets.toDF("b", "gb")
