@@ -122,4 +122,4 @@ def mixed(records: DataFrame, targets: DataFrame, total: int | None = None, bloc
     every = every.select("source", "target_share", F.coalesce("size", zero).alias("available_tokens"), "max_repeats", F.coalesce("records", zero).alias("records"), F.coalesce("uses", zero).alias("uses"), F.coalesce("tokens", zero).alias("tokens"))
     whole = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # over the targets only, a row each
     every = every.withColumn("actual_share", F.col("tokens") / whole)
-    return chosen, every.withColumn("binding", (F.col("tokens") > 0) & (F.col("uses") >= F.col("records") * F.col("max_repeats")))
+    return chosen, every.withColumn("binding", (F.col("tokens") > 0) & (F.col("tokens") >= F.col("available_tokens") * F.col("max_repeats")))
