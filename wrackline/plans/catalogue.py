@@ -23,6 +23,7 @@ from wrackline.sources import files as L
 from wrackline.sources import state as Z
 from wrackline.sources.tables import table
 from wrackline.streaming.metering import metering
+from wrackline.streaming.sync import sync
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -637,12 +638,78 @@ def token_order(spark, folder):
     return R.in_token_order(ordered).select("shard", "line_no", F.col("place").cast("bigint").alias("place"))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for what a query writes and reads again, beside the checkpoints."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{named}/{name}-{uuid.uuid4().hex}"
+
+
+@query("select source, sha256(regexp_replace(content, '^\\s+|\\s+\\z', '', 'g')) as digest, count(*) as n from (select distinct source, ordinal, content from corpus_records where content is not null and source is not null) group by all")
+def shards_round_trip(spark, folder):
+    """Records written as shards of their sources and read again."""
+    at = _scratch(spark, "shards")
+    written = L.write_shards(_records(spark, folder).where("source is not null"), at)
+    back = spark.read.text(at).select(F.col("source").cast("string").alias("source"), F.lit("").alias("shard"), F.lit(0).alias("line_no"), F.col("value").alias("raw"))
+    content = T.stripped(F.try_variant_get(F.try_parse_json("raw"), "$.messages[0].content", "string"))
+    rows = back.groupBy("source", F.sha2(content, 256).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.where(F.lit(written == back.count()))
+
+
+@query(SPLIT + """ select split, (select count(*) from split o where o.split = s.split) as records, sha256(regexp_replace(any_value(content), '^\\s+|\\s+\\z', '', 'g')) as digest from split s join kept using (digest, shard, line_no, tokens) group by split, digest""")
+def split_round_trip(spark, folder):
+    """The training and the evaluation side written as JSON lines, and the digests of what is packed in them."""
+    at = _scratch(spark, "split")
+    L.write_split(R.with_split(R.windowed(_valid(spark, folder)).where("status = 'kept'")), f"{at}/train", f"{at}/eval")
+    sides = [spark.read.text(f"{at}/{side}").select(F.lit(side).alias("split"), F.col("value").alias("raw")) for side in ("train", "eval")]
+    out = None
+    for side in sides:
+        counted = L.packed_digests(side).crossJoin(F.broadcast(side.groupBy("split").agg(F.count(F.lit(1)).alias("records"))))  # one row by the digests
+        out = counted if out is None else out.unionByName(counted)
+    return out.select("split", "records", "digest")
+
+
+@query("""with f as (select p_brand as run_id, p_size::bigint as step, p_retailprice::bigint as size, p_partkey % 40 <> 0 as still from part) select run_id, step, sum(size)::bigint as bytes from f group by all having bool_and(still)""")
+def sync_ledger(spark, folder):
+    """The ledger after two passes of the sync: parts as files of checkpoints, some still growing at the second look."""
+    at = _scratch(spark, "sync")
+    files = table(spark, folder, "part").select(F.col("p_brand").alias("run_id"), F.concat(F.lit("checkpoint-"), F.col("p_size").cast("string")).alias("folder"), F.col("p_partkey").cast("string").alias("path"), F.bround("p_retailprice").cast("bigint").alias("size"), "p_partkey")
+    for n, size in enumerate((F.col("size"), F.col("size") + (F.col("p_partkey") % 40 == 0).cast("int"))):
+        seen = F.lit(f"2024-01-01 00:0{n}:00").cast("timestamp").alias("seen_at")
+        files.select("run_id", "folder", "path", size.alias("size"), seen).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema("run_id string, folder string, path string, size bigint, seen_at timestamp").parquet(f"{at}/in")
+        sync(stream, f"{at}/ledger", lambda run, step, paths: None, lambda run, step: None, f"{at}/state", most_bytes=5_000).awaitTermination()
+    return spark.read.parquet(f"{at}/ledger").select("run_id", "step", "bytes")
+
+
+@query("""select record_id, regexp_matches(h, '(?i)\\bSUPREME COURT OF BARBADOS\\b') or regexp_matches(h, '(?i)\\bNOTICE OF APPLICATION FOR DECLARATION OF OWNERSHIP\\b') or regexp_matches(h, '(?i)\\bIN THE MATTER OF THE LAND \\(TITLE PROCEEDINGS\\) ACT\\b') or regexp_matches(h, '(?i)\\bCLAIM NO\\.\\s*[A-Z0-9/-]+') as legal
+from (select distinct record_id, substr(case when record_id % 3 = 0 then 'In the Supreme Court of Barbados. ' when record_id % 7 = 0 then repeat('x ', 300) || 'CLAIM NO. 12/3' else '' end || content, 1, 500) as h from corpus_records where content is not null)""")
+def legal_notices(spark, folder):
+    """Records, some of them begun as legal notices."""
+    start = F.when(F.col("record_id") % 3 == 0, "In the Supreme Court of Barbados. ").when(F.col("record_id") % 7 == 0, F.concat(F.repeat(F.lit("x "), 300), F.lit("CLAIM NO. 12/3"))).otherwise("")
+    rows = table(spark, folder, "corpus_records").where("content is not null").withColumn("content", F.concat(start, "content"))
+    return rows.select("record_id", K.is_legal_notice(F.col("content")).alias("legal")).distinct()
+
+
+@query("select event_id, case when event_id % 5 = 0 or value is null then 0 else value end as watts from events")
+def power_readings(spark, folder):
+    """Values as a sensor prints them, some not available."""
+    raw = F.when(F.col("event_id") % 5 == 0, F.when(F.col("event_id") % 2 == 0, " N/A ").otherwise("  ")).otherwise(F.coalesce(F.concat(F.lit(" "), F.col("value").cast("decimal(18,6)").cast("string"), F.lit(" W")), F.lit("")))
+    return table(spark, folder, "events").select("event_id", T.watts(raw).alias("watts"))
+
+
+@query("select p_brand as run_id from part group by p_brand having count(distinct case when p_partkey % 50 < 3 then p_partkey % 50 end) = 3 and bool_and(p_size <> 9 or p_partkey % 50 >= 3)")
+def complete_folders(spark, folder):
+    """Folders with three expected files whose sizes were the same before."""
+    rows = table(spark, folder, "part").select(F.col("p_brand").alias("run_id"), (F.col("p_partkey") % 50).cast("string").alias("path"), (F.col("p_size") == 9).alias("grows"))
+    files = rows.groupBy("run_id", "path").agg(F.bool_or("grows").alias("grows"))
+    return S.complete(files.select("run_id", "path", F.lit(5).alias("size")), files.select("run_id", "path", F.when(F.col("grows"), 4).otherwise(5).alias("size")), ["0", "1", "2"])
+
+
 @query("""with l as (select user_id, ts, lag(ts) over w as p, lag(value) over w as v from events window w as (partition by user_id order by ts))
 select user_id::varchar as run_id, round(sum(case when v >= 25 then epoch_us(ts) - epoch_us(p) else 0 end) / 1e6, 3) as consumed_s from l group by user_id""")
 def stream_metering(spark, folder):
     """The metering stream, run to the end of what is there; equals the batch query."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    at = f"{named}/metering-{uuid.uuid4().hex}"
+    at = _scratch(spark, "metering")
     shape = table(spark, folder, "events").schema
     # a file is found by its name in the folder, a folder of files is a source of its own
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/events.parquet")
