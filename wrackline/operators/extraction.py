@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wrackline.functions import predicates as K
-from wrackline.functions.text import word_count
+from wrackline.functions.text import simhash, word_count
 from wrackline.operators import blocks as B
 from wrackline.operators import dedup as D
 from wrackline.session import cut
@@ -95,14 +95,14 @@ def build(editions: DataFrame, least: int = 250, most: int = 1000, shortest: int
     return records, scanned.crossJoin(F.broadcast(rest))  # one row each
 
 
-def filtered(records: DataFrame, shortest: int = 80) -> tuple[DataFrame, DataFrame]:
+def filtered(records: DataFrame, shortest: int = 80, hashing=simhash) -> tuple[DataFrame, DataFrame]:
     """Records (`source, ordinal, content`) that stay, in order, and one row of counters on the way."""
     content = F.col("content")
     marked = records.withColumn("_short", word_count(content) < shortest).withColumn("_off", K.is_off_domain(content))
     one = marked.agg(F.count(F.lit(1)).alias("extracted_records"), F.count_if("_short").alias("below_minimum_records"), F.count_if(F.expr("not _short and _off")).alias("off_domain_records"), F.count_if(F.expr("not _short and not _off")).alias("_kept"))
     inside = marked.where("not _short and not _off").select("source", "ordinal", "content")
     exact = D.longest_of_copies(inside).agg(F.count(F.lit(1)).alias("_exact"))
-    out = cut(D.deduplicated(inside))
+    out = cut(D.deduplicated(inside, hashing=hashing))
     both = one.crossJoin(F.broadcast(exact)).crossJoin(F.broadcast(out.agg(F.count(F.lit(1)).alias("output_records"))))  # one row each
     counters = both.select("extracted_records", "below_minimum_records", "off_domain_records", (F.col("_kept") - F.col("_exact")).alias("exact_duplicates"), (F.col("_exact") - F.col("output_records")).alias("near_duplicates"), "output_records")
     return D.in_order(out), counters

@@ -130,7 +130,12 @@ def sentence_counts(spark, folder):
     return table(spark, folder, "documents").select("doc_id", count.cast("bigint").alias("sentences"))
 
 
-@query(f"select distinct record_id, not regexp_matches(content, {q(P.LOCAL_TERMS)}) and regexp_matches(content, {q(P.FOREIGN_TERMS)}) as off_domain, {COUNT.format('content')} < 80 as short from corpus_records where content is not null")
+#: The names as literals of their own, beside those that the code uses.
+LOCAL_SQL = r"'(?i)\b(Barbados|Barbadian|Barbadians|Bajan|Bridgetown|CARICOM|Caribbean|Christ Church|(Saint|St\.) (Michael|Philip|Peter|James|Lucy|George|Thomas|Andrew|Joseph|John)|UWI|Cave Hill)\b'"
+FOREIGN_SQL = r"'(?i)(\b(Israeli?|Tunisian?|Ukraine|Ukrainian|United States|Washington|New York|London|European Union|Virgin Galactic)\b|\((AP|Reuters)\)\s*$)'"
+
+
+@query(f"select distinct record_id, not regexp_matches(content, {LOCAL_SQL}) and regexp_matches(content, {FOREIGN_SQL}) as off_domain, {COUNT.format('content')} < 80 as short from corpus_records where content is not null")
 def record_filters(spark, folder):
     rows = table(spark, folder, "corpus_records").where("content is not null")
     return rows.select("record_id", K.is_off_domain(F.col("content")).alias("off_domain"), (T.word_count(F.col("content")) < 80).alias("short")).distinct()
@@ -158,10 +163,15 @@ h as (select {key}, len(p) as n, unnest([('0x' || substr(md5(x), 17, 16))::ubigi
 hashes as (select {key}, (sum(case when b < 63 and c * 2 >= n then (1::hugeint << b::int) else 0 end) - max(case when b = 63 and c * 2 >= n then 9223372036854775808::hugeint else 0 end))::bigint as hash from b group by {key})"""
 
 
-@query(f"""with recursive x as (select source, ordinal, content, row_number() over (order by length(content) desc, source, ordinal) as r from (select source, ordinal, content, row_number() over (partition by {canon('content')} order by length(content) desc, source, ordinal) as n from (select distinct source, ordinal, content from corpus_records where content is not null)) where n = 1),
+def _greedy_sql(base: str) -> str:
+    """CTEs that end in `x` (source, ordinal, content, r: rank), the longest of copies in `base`, and `last` (gone: ranks that a kept one before is near to)."""
+    return f"""x as (select source, ordinal, content, row_number() over (order by length(content) desc, source, ordinal) as r from (select source, ordinal, content, row_number() over (partition by {canon('content')} order by length(content) desc, source, ordinal) as n from {base}) where n = 1),
 {_hash_sql('x', 'r', 'content')}, near as (select b.r, list(a.r) as before from hashes a join hashes b on a.r < b.r and bit_count(xor(a.hash, b.hash)) <= 3 group by b.r),
 steps as (select 0::bigint as r, []::bigint[] as gone union all select steps.r + 1, case when before is not null and len(list_filter(before, lambda q: not list_contains(gone, q))) > 0 then list_append(gone, steps.r + 1) else gone end from steps left join near on near.r = steps.r + 1 where steps.r < (select max(r) from x)),
-last as (select gone from steps order by r desc limit 1) select source, ordinal from x, last where not list_contains(gone, r)""")
+last as (select gone from steps order by r desc limit 1)"""
+
+
+@query(f"with recursive base as (select distinct source, ordinal, content from corpus_records where content is not null), {_greedy_sql('base')} select source, ordinal from x, last where not list_contains(gone, r)")
 def near_dedup_md5(spark, folder):
     return D.deduplicated(_records(spark, folder), hashing=T.simhash_md5).select("source", "ordinal")
 
@@ -176,12 +186,15 @@ def simhashes_md5(spark, folder):
     return table(spark, folder, "documents").where("text is not null").select("doc_id", T.simhash_md5(F.col("text")).alias("hash"))
 
 
-@query()
+@query(f"""with recursive every as (select distinct source, ordinal, content from corpus_records where content is not null), marked as (select *, {COUNT.format('content')} < 80 as short, not regexp_matches(content, {LOCAL_SQL}) and regexp_matches(content, {FOREIGN_SQL}) as off from every),
+base as (select source, ordinal, content from marked where not short and not off), {_greedy_sql('base')}
+select (select count(distinct source) from every) as scanned_files, (select count(*) from every) as extracted_records, (select count(*) from marked where short) as below_minimum_records, (select count(*) from marked where not short and off) as off_domain_records, (select count(*) from base) - (select count(*) from x) as exact_duplicates,
+len(gone)::bigint as near_duplicates, (select count(*) from x) - len(gone) as output_records from last""")
 def build_summary_now(spark, folder):
-    """The counters that a build reports, on the corpus records."""
+    """The counters that a build reports, on the corpus records, near copies by MD5 votes."""
     rows = _records(spark, folder)
     scanned = rows.agg(F.count_distinct("source").alias("scanned_files"))
-    return scanned.crossJoin(F.broadcast(E.filtered(rows)[1]))  # one row each
+    return scanned.crossJoin(F.broadcast(E.filtered(rows, hashing=T.simhash_md5)[1]))  # one row each
 
 
 @query()
