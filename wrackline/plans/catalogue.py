@@ -53,7 +53,13 @@ def canon(column: str) -> str:
     return f"lower(trim(regexp_replace({column}, {q(P.SPACE)}, ' ', 'g')))"
 
 
-NOISE, CAPTION = any_sql("text", P.NOISE), "(" + any_sql("text", P.CAPTION) + f" or (words <= 45 and regexp_matches(text, {q(P.CAPTION_VERB)}) and not contains(text, '\"')))"
+#: What furniture and captions look like, as literals of their own beside those that the code uses.
+NOISE = any_sql("text", (
+    r"^<!--.*-->$", r"(?i)^.*\bEstablished October 1895\b.*$", r"(?i)^\$[0-9]+(\.[0-9]{2})?\s+VAT Inclusive$", r"(?i)^Page\s+[0-9]+$", r"^.*\b[0-9]{1,2}:[0-9]{2}$", r"(?i)^RUNOVER\b.*$", r"(?i)^\(?Cont['’]?d\b.*(page\s+[0-9]+|next page).*\)?$",
+    r"(?i)^.{1,50}\b(from|on)\s+(Front\s+)?Page\s+[0-9]+$", r"(?i)^\(?See .*\bPage\s+[0-9]+.*\)?$", r"(?i)^(ABOVE|BELOW|RIGHT|AT RIGHT|BELOW RIGHT)\b.*", r"^\((DB|JB)\)$", r"(?i)^(SCAN ME|SUBSCRIBE NOW\b.*|SEE MORE\b.*|VISIT US AT\b.*)$", r"(?i)^(Telephone|Contact|Email|Website):\s*.*$", r"(?i)^(https?://|www\.)\S+",
+))
+CAPTION = any_sql("text", (r"(?i)^\(?(From left|From right|Pictured|Photo)\b", r"(?i)\(([^)]*/)?(BGIS|AP|Reuters|Photo[^)]*|Picture[^)]*)\)\s*$", r"(?i)\b(photo|picture)\s+(by|courtesy of)\b", r"(?i)\bPictured (here|from left|from right)\b"))
+CAPTION = f"({CAPTION} or (words <= 45 and regexp_matches(text, '(?i)\\b(pose|poses|presents|presented|presenting|accept|accepts|greeting|looking on|helping)\\b') and not contains(text, '\"')))"
 CORRUPT = f"(words >= 12 and len(list_filter(regexp_extract_all(text, {q(P.WORD)}), lambda w: length(w) = 1)) * 100 > words * 15)"
 PROSE = f"(words >= {{0}} and regexp_matches(text, '[a-z]{{{{3}}}}') and not {CORRUPT})"
 USEFUL = f"(not regexp_matches(text, {q(P.BYLINE)}) and not regexp_matches(text, {q(P.FIXTURE)}) and words between 1 and 24)"
