@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,6 +13,7 @@ from wrackline.functions import patterns as P
 from wrackline.functions import predicates as K
 from wrackline.functions.text import normalised, stripped
 from wrackline.operators.sequences import PART, following, preceding, running
+from wrackline.session import cut
 
 _WORD = re.compile(P.WORD)
 
@@ -36,7 +38,8 @@ def blocks(cands: DataFrame, least: int = 8) -> DataFrame:
 
 def articles(found: DataFrame) -> DataFrame:
     """Blocks with `article`: a heading after prose begins a new one; articles without prose are dropped."""
-    rows = preceding(found, "source", "idx", "is_heading", "_before")
+    # looked at four times from here on
+    rows = preceding(cut(found), "source", "idx", "is_heading", "_before")
     begins = (F.col("is_heading") & ~F.coalesce("_before", F.lit(True))).cast("int")
     numbered = running(rows, ["source"], F.floor(F.col("idx") / PART), ["idx"], begins, "_article").withColumn("article", F.col("_article").cast("int")).drop("_before", "_article")
     prose = F.max((~F.col("is_heading")).cast("int")).over(Window.partitionBy("source", "article"))
@@ -73,23 +76,30 @@ def chunks(found: DataFrame, least: int = 250, most: int = 1000) -> DataFrame:
     if least < 1 or most < least:
         raise ValueError("1 <= least <= most is required")
 
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        out, held, size, prose = [], [], 0, False
-        for text, heading in zip(part["text"], part["is_heading"]):
-            for piece in [text] if heading else pieces(text, most):
-                n = len(_WORD.findall(piece))
-                if not heading and prose and size + n > most:
-                    out.append("\n\n".join(held))
-                    held, size, prose = [], 0, False
-                held.append(piece)
-                size += n
-                prose = prose or not heading
-        out += ["\n\n".join(held)] if prose else []
-        kept = [(part["source"].iloc[0], int(part["article"].iloc[0]), i, c) for i, c in enumerate(out)]
-        return pd.DataFrame(kept, columns=["source", "article", "part", "content"])
-
-    packed = articles(found).groupBy("source", "article").applyInPandas(pack, "source string, article int, part int, content string")
-    packed = packed.where(~K.is_legal_notice(F.col("content")))
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, size, prose, nth = None, [], 0, False, 0
+        for part in parts:
+            out = []
+            for source, article, text, heading in part[["source", "article", "text", "is_heading"]].itertuples(index=False):
+                if now != (source, article):
+                    if prose:
+                        out.append((*now, nth, "\n\n".join(held)))
+                    now, held, size, prose, nth = (source, article), [], 0, False, 0
+                for piece in [text] if heading else pieces(text, most):
+                    n = len(_WORD.findall(piece))
+                    if not heading and prose and size + n > most:
+                        out.append((*now, nth, "\n\n".join(held)))
+                        held, size, prose, nth = [], 0, False, nth + 1
+                    held.append(piece)
+                    size += n
+                    prose = prose or not heading
+            yield pd.DataFrame(out, columns=["source", "article", "part", "content"])
+        if prose:
+            yield pd.DataFrame([(*now, nth, "\n\n".join(held))], columns=["source", "article", "part", "content"])
+
+    # folded along sorted partitions: a chunk at a time is held, and many articles cost one call
+    rows = articles(found).select("source", "article", "idx", "text", "is_heading").repartition("source", "article").sortWithinPartitions("source", "article", "idx")
+    packed = rows.mapInPandas(fold, "source string, article int, part int, content string")
+    packed = cut(packed.where(~K.is_legal_notice(F.col("content"))))
     numbered = running(packed, ["source"], F.floor(F.col("article") / 256), ["article", "part"], F.lit(1), "nth")
     return numbered.select("source", (F.col("nth") - 1).cast("int").alias("ordinal"), "content")
