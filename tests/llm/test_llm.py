@@ -120,6 +120,27 @@ def test_cross_split_against_all_pairs(spark):
     assert X.overlaps(empty, "rec_id", "content", "split")[1].count() == 0
 
 
+def test_bitset_comes_in_blocks(spark, monkeypatch):
+    seeds = spark.range(200_000).select(F.xxhash64("id").alias("seed"))
+    place = {(r.seed % 2**64 >> 11) % (1 << 22) for r in seeds.collect()}
+    rows, kind = [], type(seeds)
+
+    def counted(real):
+        def run(df, *args):
+            found = real(df, *args)
+            rows.append(len(found))
+            return found
+
+        return run
+
+    for name in ("collect", "toPandas", "toArrow"):
+        monkeypatch.setattr(kind, name, counted(getattr(kind, name)))
+    got = X.bitset(seeds, 200_000)
+    assert len(got) * 8 == 1 << 22 and set(np.flatnonzero(np.unpackbits(got, bitorder="little"))) == place
+    assert rows and max(rows) <= 16  # not a row for each word
+    assert not X.bitset(seeds.limit(0), 0).any()
+
+
 def test_winnow_keeps_the_least_of_each_window():
     draw = np.random.default_rng(1)
     text = np.sort(draw.integers(0, 5, 60))

@@ -119,23 +119,42 @@ def common_grams(texts: DataFrame, k: int, records: int, part: float, most: int
     least = max(8, part * records)
     while counts.where(F.col("n") >= least).count() > most:  # an order with fewer common k-grams serves as well
         least *= 2
-    found = counts.where(F.col("n") >= least).select("seed").toPandas()["seed"].to_numpy(np.int64)
+    found = counts.where(F.col("n") >= least).select("seed").toArrow().column("seed").to_numpy()
     return np.sort(found.view(np.uint64))
 
 
+#: Words of 32 bits in a block of a bitset: a row of 32 KB.
+BLOCK = 1 << 13
+
+
 def bitset(seeds: DataFrame, n: int, most_bits: int = 1 << 28) -> np.ndarray:
     """Bytes of a bitset of the seeds, 16 bits for each of n but never more than `most_bits`.
 
-    Made by OR in the cluster; the driver gets the words of the set, whatever the number of seeds.
+    Made by OR in the cluster, in blocks; the driver gets the bytes of the set (32 MB at most)
+    in a row a block, whatever the number of seeds.
     """
     bits = min(most_bits, 1 << max(16, int(16 * n - 1).bit_length()))
     place = F.pmod(F.shiftrightunsigned("seed", 11), F.lit(bits))
     words = seeds.select(F.shiftright(place, 5).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(32)).cast("int")).alias("bit"))
-    words = words.groupBy("word").agg(F.bit_or("bit").alias("bit"))
-    out = np.zeros(bits // 32, np.uint32)
-    found = words.toPandas()
-    out[found["word"].to_numpy(np.int64)] = found["bit"].to_numpy(np.int64).astype(np.uint32)
-    return out.view(np.uint8)
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).withColumn("block", F.floor(F.col("word") / BLOCK).cast("int"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a block's words are all in one task, each once
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            word, bit, block = (batch.column(c).to_numpy() for c in range(3))
+            order = np.argsort(block, kind="stable")
+            word, bit, block = word[order] % BLOCK, bit[order].astype(np.uint32), block[order]
+            ends = np.flatnonzero(np.diff(block, append=-1)) + 1
+            for lo, hi in zip(np.concatenate(([0], ends[:-1])), ends):
+                held.setdefault(int(block[lo]), np.zeros(BLOCK, np.uint32))[word[lo:hi]] = bit[lo:hi]
+        for block, values in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([values.tobytes()], pa.binary())], names=["block", "bytes"])
+
+    out = np.zeros(max(bits // 32, BLOCK), np.uint32)
+    for row in words.repartition("block").mapInArrow(pack, "block int, bytes binary").collect():
+        out[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.bytes, np.uint32)
+    return out[: bits // 32].view(np.uint8)
 
 
 def align(x: np.ndarray, y: np.ndarray, k: int, slack: int) -> tuple[int, int, int, int]:
