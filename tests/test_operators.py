@@ -117,6 +117,41 @@ def test_stitching(spark):
     assert offered.accepted == 1 and [tuple(x) for x in offered.steps] == [(1, "noon with rum", "with rum", True)]
 
 
+def test_continuation_against_plain_loop():
+    def plain(before, words, most=60, least=0.72):
+        reach, drop, span, best = min(most, len(before), len(words)), 0, 0, 0.0
+        for n in range(2, reach + 1):
+            for m in range(max(2, n - 4), min(reach, n + 4) + 1):
+                like = SequenceMatcher(None, S._key(before[-n:]), S._key(words[:m])).ratio()
+                if like >= least and (like > best + 0.02 or abs(like - best) <= 0.02 and min(n, m) > span):
+                    drop, span, best = m, min(n, m), like
+        return words[drop:]
+
+    draw = random.Random(7)
+    several = ["a", "the", "sea", "-", "don't", "straße", "Ünï", "\U0001d400", "no", "no.", "committee", *("".join(draw.choice("etaoinshrdlu") for _ in range(draw.randint(1, 9))) for _ in range(40))]
+    for trial in range(60):
+        among = draw.sample(several, draw.choice([2, 4, 20, len(several)]))
+        before = draw.choices(among, k=draw.choice([1, 5, 30, 70]))
+        words = before[-draw.choice([1, 3, 10, 45, 60]) :] + draw.choices(among, k=draw.randint(0, 30))
+        for _ in range(draw.choice([0, 0, 1, 3, 8])):
+            at = draw.randrange(len(words))
+            words[at : at + 1] = draw.choice([["sea"], draw.choices(among, k=2), [words[at] + "s"]])
+        assert S.continuation(before, words) == plain(before, words), trial
+
+
+def test_stitching_measures_few_pairs_in_many_tasks(spark, monkeypatch):
+    draw, measured = random.Random(3), []
+    for name in ("ratio", "quick_ratio"):
+        monkeypatch.setattr(SequenceMatcher, name, lambda self, real=getattr(SequenceMatcher, name): measured.append(1) or real(self))
+    for _ in range(20):
+        text = ["".join(draw.choice("etaoinshrdlu") for _ in range(draw.randint(1, 9))) for _ in range(110)]
+        assert len(S.continuation(text[:60], text[50:])) < 60
+        S.continuation(text[:50], text[50:])
+    assert len(measured) <= 40 * 5  # of some 500 pairs at each boundary
+    rows = spark.range(400).selectExpr("cast(id % 100 as string) recording_id", "cast(id / 100 as int) index", "'some words' transcript", "1 generation_tokens", "1L latency_ms")
+    assert S.stitched(rows).select(F.spark_partition_id().alias("p")).distinct().count() == 4
+
+
 def test_folds_and_plans(spark):
     items = spark.createDataFrame([("k", i, s) for i, s in enumerate([4, 4, 3, 20, 1])], "k string, i int, s int")
     assert [r.bin for r in S.packed(items, "k", "i", "s", 10).orderBy("i").collect()] == [0, 0, 1, 2, 3]
